@@ -71,16 +71,13 @@ def write_csv(df: DataFrame, path: str) -> bool:
     return True
 
 
-def land_by_date(df: DataFrame, path: str, column: str, partitions: int | None = None) -> None:
+def land_by_date(df: DataFrame, path: str, column: str) -> None:
     """Parquet partitioned by date.
 
-    Rows are spread by (date, hash of the row), so one busy date does not end
-    up in one task.
+    The rebalance hint gathers a date's rows into few files and lets adaptive
+    execution split a date that holds too much for one task.
     """
-    day = F.to_date(column)
-    out = df.withColumn(column, day)
-    if partitions:
-        out = out.repartition(partitions, column, F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+    out = df.withColumn(column, F.to_date(column)).hint("rebalance", column)
     out.write.mode("overwrite").partitionBy(column).parquet(path)
 
 
