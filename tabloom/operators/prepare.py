@@ -322,14 +322,20 @@ def collect_labels(values: DataFrame, numeric: Sequence[str]) -> dict[str, list[
     return {c: sorted(v, key=float if c in order else str) for c, v in labels.items()}
 
 
+def _indexers(labels, inputs: Sequence[str], outputs: Sequence[str]) -> list[StringIndexerModel]:
+    """One indexer per column: the several-column form pads shorter label lists."""
+    return [
+        StringIndexerModel.from_labels(own or [INFREQUENT], i, o, "keep")
+        for own, i, o in zip(labels, inputs, outputs)
+    ]
+
+
 def ordinal_stages(pairs, labels: Mapping[str, list[str]]) -> list:
     indexed = [f"{o}__ix" for _, o in pairs]
     text = [f"{o}__tx" for _, o in pairs]
     return [
         ColumnExpressions(outputs=text, expressions=[f"CAST({sql_name(i)} AS STRING)" for i, _ in pairs]),
-        StringIndexerModel.from_arrays_of_labels(
-            [labels.get(i) or [INFREQUENT] for i, _ in pairs], text, indexed, "keep"
-        ),
+        *_indexers([labels.get(i) for i, _ in pairs], text, indexed),
         ColumnExpressions(
             outputs=[o for _, o in pairs],
             expressions=[
@@ -398,11 +404,7 @@ def one_hot_stages(values, pairs, fills: Mapping, max_categories: int, drop_bina
         )
     if many:
         indexed = [f"{o}__ix" for _, o in many]
-        stages.append(
-            StringIndexerModel.from_arrays_of_labels(
-                [labels.get(i) or [INFREQUENT] for i, _ in many], [text[i] for i, _ in many], indexed, "keep"
-            )
-        )
+        stages += _indexers([labels.get(i) for i, _ in many], [text[i] for i, _ in many], indexed)
         # the extra slot for unseen values is last, and dropped
         encoder = OneHotEncoder(inputCols=indexed, outputCols=[o for _, o in many], dropLast=True)
         stages.append(encoder.fit(PipelineModel(stages).transform(df.limit(0))))
