@@ -243,25 +243,28 @@ class HashEncoding(_Columns):
         self._setDefault(buckets=32)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def _fit(self, dataset: DataFrame) -> ColumnExpressions:
-        counts = hash_counts(self.getOrDefault(self.inputCols), self.getOrDefault(self.buckets))
-        return ColumnExpressions(
-            outputs=[self.getOrDefault(self.outputCols)[0]], expressions=[counts]
-        )
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        out = self.getOrDefault(self.outputCols)[0]
+        return PipelineModel(hash_stages(self.getOrDefault(self.inputCols), out, self.getOrDefault(self.buckets)))
 
 
-def hash_counts(columns: Sequence[str], buckets: int) -> str:
-    """SQL of the counter array. The hash of each value is taken once."""
+def hash_stages(columns: Sequence[str], output: str, buckets: int) -> list:
+    """Each value is hashed once into a bucket column; the counters compare those."""
     if buckets < 1 or buckets > 256 or buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two up to 256")
-    hashed = ", ".join(
+    held = [f"{output}__b{j}" for j in range(len(columns))]
+    bucket_of = [
         f"CAST(conv(right(md5(coalesce(CAST({sql_name(c)} AS STRING), 'nan')), 2), 16, 10) AS INT) % {buckets}"
         for c in columns
+    ]
+    counters = ", ".join(
+        "CAST(" + " + ".join(f"CAST({sql_name(h)} = {i} AS INT)" for h in held) + " AS DOUBLE)"
+        for i in range(buckets)
     )
-    return (
-        f"transform(sequence(0, {buckets - 1}), "
-        f"i -> CAST(size(filter(array({hashed}), b -> b = i)) AS DOUBLE))"
-    )
+    return [
+        ColumnExpressions(outputs=held, expressions=bucket_of),
+        ColumnExpressions(outputs=[output], expressions=[f"array({counters})"]),
+    ]
 
 
 class OneHotEncoding(_Columns):
@@ -476,8 +479,7 @@ class Preparer:
                 assembled += [o for _, o in pairs]
             elif b.encode == "hash":
                 out = f"{PREFIX}{b.name}_hash"
-                simple[out] = hash_counts(b.columns, b.buckets)
-                stages.append(ArrayToVector(column=out))
+                stages += [*hash_stages(b.columns, out, b.buckets), ArrayToVector(column=out)]
                 stages.append(VectorSizeHint(inputCol=out, size=b.buckets, handleInvalid="optimistic"))
                 assembled.append(out)
             elif b.encode in ("frequency", "share"):

@@ -24,33 +24,52 @@ def _group_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("__n"))
 
 
+class HashCuts:
+    """Cut positions in the hash order of each group, shared by every frame they are applied to.
+
+    Each position is an expression over ``__n``, the group size, giving the
+    0-based rank a cut starts at. Group sizes are counted once for all seeds.
+    """
+
+    def __init__(self, df: DataFrame, key: str, by: str | None):
+        self.key, self.by = key, by
+        self.keys = df.select(key, *([] if by is None else [by]), self._group().alias(_ALL))
+        self.counts = _group_counts(self.keys, [_ALL]).persist()
+        self.small = is_small(self.counts, [_ALL])
+
+    def _group(self) -> Column:
+        return F.lit(0) if self.by is None else F.col(self.by)
+
+    def mark(self, df: DataFrame, seed: int, positions: Sequence[Column], output: str) -> DataFrame:
+        """Add ``output``: how many cuts lie at or before the row."""
+        cuts = self.counts.select(
+            _ALL,
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(F.lit(i).alias("cut"), (p + 1).cast("bigint").alias("position"))
+                        for i, p in enumerate(positions)
+                    ]
+                )
+            ),
+        )
+        # a cut behind the last row of its group has no digest and marks nothing
+        at = hash_cutpoints(self.keys, self.key, seed, cuts, [_ALL], self.small)
+        digests = at.groupBy(_ALL).pivot("cut", list(range(len(positions)))).agg(F.first("digest"))
+        table = F.broadcast(digests) if self.small else digests
+        rows = df.withColumn("__g", self._group()).alias("d")
+        joined = rows.join(table.alias("c"), F.col("d.__g").eqNullSafe(F.col(f"c.{_ALL}")), "left")
+        own = hash_text(F.col(f"d.{self.key}"), seed)
+        passed = F.lit(0)
+        for i in range(len(positions)):
+            passed = passed + F.coalesce((own >= F.col(f"c.{i}")).cast("int"), F.lit(0))
+        return joined.select(*[F.col(f"d.{c}") for c in df.columns], passed.alias(output))
+
+
 def mark_by_rank(
     df: DataFrame, key: str, seed: int, positions: Sequence[Column], by: str | None, output: str
 ) -> DataFrame:
-    """Add ``output``: how many of the cut positions lie before a row in its group's hash order.
-
-    Each position is a column expression over ``__n``, the group size, giving the
-    0-based rank the cut starts at.
-    """
-    data = df.withColumn(_ALL, F.lit(0) if by is None else F.col(by))
-    counts = _group_counts(data, [_ALL]).persist()
-    small = is_small(counts, [_ALL])
-    cuts = counts.select(
-        _ALL,
-        F.inline(
-            F.array(*[F.struct(F.lit(i).alias("cut"), (p + 1).cast("bigint").alias("position")) for i, p in enumerate(positions)])
-        ),
-    )
-    # a cut behind the last row of its group has no digest and marks nothing
-    at = hash_cutpoints(data, key, seed, cuts, [_ALL], small)
-    digests = at.groupBy(_ALL).pivot("cut", list(range(len(positions)))).agg(F.first("digest"))
-    hint = F.broadcast(digests) if small else digests
-    joined = data.alias("d").join(hint.alias("c"), F.col(f"d.{_ALL}").eqNullSafe(F.col(f"c.{_ALL}")), "left")
-    own = hash_text(F.col(f"d.{key}"), seed)
-    passed = F.lit(0)
-    for i in range(len(positions)):
-        passed = passed + F.coalesce((own >= F.col(f"c.{i}")).cast("int"), F.lit(0))
-    return joined.select(*[F.col(f"d.{c}") for c in df.columns], passed.alias(output))
+    return HashCuts(df, key, by).mark(df, seed, positions, output)
 
 
 def random_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -81,20 +100,24 @@ def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) ->
     return marked.filter(F.col("__m") == 0).drop("__m")
 
 
+def _fold_starts(folds: int) -> list[Column]:
+    return [F.ceil(F.col("__n") * i / folds) for i in range(1, folds)]
+
+
 def stratified_folds(
     df: DataFrame, key: str, label: str, folds: int, seed: int = 42, output: str = "fold"
 ) -> DataFrame:
     """Add a fold number; within a class, fold sizes differ by at most one."""
-    starts = [F.ceil(F.col("__n") * i / folds) for i in range(1, folds)]
-    return mark_by_rank(df, key, seed, starts, label, output)
+    return mark_by_rank(df, key, seed, _fold_starts(folds), label, output)
 
 
 def repeated_folds(
     df: DataFrame, key: str, label: str, folds: int, repeats: int, seed: int = 42
 ) -> DataFrame:
     """Add one fold column per repeat, ``fold_0``, ``fold_1``, ..., each with its own order."""
+    cuts = HashCuts(df, key, label)
     for r in range(repeats):
-        df = stratified_folds(df, key, label, folds, seed + r, f"fold_{r}")
+        df = cuts.mark(df, seed + r, _fold_starts(folds), f"fold_{r}")
     return df
 
 
