@@ -15,83 +15,92 @@ from pyspark.sql import functions as F
 from tabloom.operators.ranks import ROWS_PER_CELL, running_sums
 
 
-def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(label, prediction, count) over all pairs of classes seen, empty cells included."""
-    counts = (
+def _pair_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    return (
         df.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull())
         .groupBy(F.col(label).cast("string").alias("label"), F.col(prediction).cast("string").alias("prediction"))
         .agg(F.count("*").alias("count"))
     )
-    # one array of class names, unfolded twice: the empty cells are classes x classes rows
-    seen = counts.select(F.explode(F.array("label", "prediction")).alias("c"))
-    names = seen.agg(F.array_sort(F.collect_set("c")).alias("names"))
-    grid = names.select(F.explode("names").alias("label"), "names").select(
-        "label", F.explode("names").alias("prediction")
-    )
-    return grid.join(counts, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")
-    )
 
 
-def _per_class(counts: DataFrame) -> DataFrame:
-    """(class, tp, support, predicted) from confusion counts."""
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)
-    zero = F.lit(0).cast("bigint")
-    rows = counts.select(F.col("label").alias("class"), hit.alias("tp"), F.col("count").alias("support"), zero.alias("predicted"))
-    cols = counts.select(F.col("prediction").alias("class"), zero.alias("tp"), zero.alias("support"), F.col("count").alias("predicted"))
-    return rows.unionByName(cols).groupBy("class").agg(
-        F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted")
+def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """(label, prediction, count) over all pairs of classes seen, empty cells included."""
+    counts = _pair_counts(df, label, prediction)
+    # one row per class with all class names: the empty cells are classes x classes rows
+    whole = counts.agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("label", "prediction"))))).alias("names"),
+        F.map_from_entries(F.collect_list(F.struct(F.struct("label", "prediction"), F.col("count")))).alias("seen"),
     )
+    rows = whole.select(F.explode("names").alias("label"), "names", "seen")
+    cells = rows.select("label", F.explode("names").alias("prediction"), "seen")
+    found = F.try_element_at("seen", F.struct("label", "prediction"))
+    return cells.select("label", "prediction", F.coalesce(found, F.lit(0)).cast("bigint").alias("count"))
 
 
 def _ratio(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def _scores(per_class: DataFrame) -> DataFrame:
-    scored = per_class.withColumns(
+def _scores(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """(class, tp, support, predicted, precision, recall, f1); nothing divided by nothing is 0."""
+    counts = _pair_counts(df, label, prediction)
+    zero = F.lit(0).cast("bigint")
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(zero)
+    sides = F.array(
+        F.struct(F.col("label").alias("class"), hit.alias("tp"), F.col("count").alias("support"), zero.alias("predicted")),
+        F.struct(F.col("prediction").alias("class"), zero.alias("tp"), zero.alias("support"), F.col("count").alias("predicted")),
+    )
+    per_class = (
+        counts.select(F.inline(sides))
+        .groupBy("class")
+        .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
+    )
+    return per_class.withColumns(
         {
             "precision": _ratio(F.col("tp"), F.col("predicted")),
             "recall": _ratio(F.col("tp"), F.col("support")),
+            "f1": _ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")),
         }
     )
-    f1 = _ratio(2 * F.col("tp"), F.col("predicted") + F.col("support"))
-    return scored.withColumn("f1", f1)
 
 
 def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(class, precision, recall, f1, support) per class, then accuracy, macro and weighted averages."""
-    scores = _scores(_per_class(confusion(df, label, prediction)))
+    """(class, precision, recall, f1, support) per class, then accuracy, macro and weighted averages.
+
+    Each class row is handed to its own line and to the three summary lines, so
+    the table is read once.
+    """
+    lines = F.array(F.col("class"), F.lit("accuracy"), F.lit("macro avg"), F.lit("weighted avg"))
+    spread = _scores(df, label, prediction).select(
+        F.posexplode(lines).alias("line", "name"), "tp", "support", "precision", "recall", "f1"
+    )
     total = F.sum("support")
+    summed = spread.groupBy("line", "name").agg(
+        total.alias("support"),
+        _ratio(F.sum("tp"), total).alias("accuracy"),
+        *[F.avg(c).alias(f"{c}_mean") for c in ("precision", "recall", "f1")],
+        *[_ratio(F.sum(F.col(c) * F.col("support")), total).alias(f"{c}_weighted") for c in ("precision", "recall", "f1")],
+    )
 
-    def averages(name: str, *values) -> DataFrame:
-        p, r, f = values
-        return scores.agg(
-            F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1"), total.alias("support")
+    def value(c: str):
+        return (
+            F.when(F.col("line") == 1, F.col("accuracy"))
+            .when(F.col("line") == 3, F.col(f"{c}_weighted"))
+            .otherwise(F.col(f"{c}_mean"))
+            .alias(c)
         )
 
-    def weighted(c):
-        return _ratio(F.sum(F.col(c) * F.col("support")), total)
-
-    accuracy = _ratio(F.sum("tp"), total)
-    columns = ["class", "precision", "recall", "f1", "support"]
-    return (
-        scores.select(*columns)
-        .unionByName(averages("accuracy", accuracy, accuracy, accuracy))
-        .unionByName(averages("macro avg", *[F.avg(c) for c in ("precision", "recall", "f1")]))
-        .unionByName(averages("weighted avg", *[weighted(c) for c in ("precision", "recall", "f1")]))
-    )
+    return summed.select(F.col("name").alias("class"), *[value(c) for c in ("precision", "recall", "f1")], "support")
 
 
 def summary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """One row: accuracy and weighted F1, precision and recall."""
-    scores = _scores(_per_class(confusion(df, label, prediction)))
     total = F.sum("support")
 
     def weighted(c):
         return _ratio(F.sum(F.col(c) * F.col("support")), total)
 
-    return scores.agg(
+    return _scores(df, label, prediction).agg(
         _ratio(F.sum("tp"), total).alias("accuracy"),
         weighted("f1").alias("f1_weighted"),
         weighted("precision").alias("precision_weighted"),

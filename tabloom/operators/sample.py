@@ -157,27 +157,23 @@ def hash_ranked(df: DataFrame, key: str, label: str, seed: int, output: str, dig
     )
 
 
-def oversample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
-    """Every class raised to the size of the largest by draws with replacement.
+def drawn_rows(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
+    """Rows drawn with replacement to raise every class to the largest, with ``__times``.
 
-    Adds ``copy``: 0 for the row itself, 1, 2, ... for its drawn copies. The
-    draws are counted per drawn row before they meet the rows, so a class of ten
-    rows raised to a billion moves ten counts, not a billion keys.
+    The draws are counted per drawn row before they meet the rows, so a class of
+    ten rows raised to a billion moves ten counts, not a billion keys.
     """
-    spark = df.sparkSession
     known = df.filter(F.col(label).isNotNull())
     counts = known.groupBy(label).agg(F.count("*").alias("__n")).persist()
     if counts.count() > MAX_BROADCAST_ROWS:
         raise ValueError("too many classes to balance")
-    most = counts.agg(F.max("__n")).first()[0]
-    if most is None:
-        return known.withColumn("copy", F.lit(0).cast("bigint"))
+    most = counts.agg(F.max("__n")).first()[0] or 0
     need = counts.select(label, "__n", (F.lit(most) - F.col("__n")).alias("__need")).filter(F.col("__need") > 0)
 
     # draw d of a class takes the row whose rank is a hash of (class, d)
     top = need.agg(F.max("__need")).first()[0] or 0
-    numbered = spark.range(top).withColumnRenamed("id", "__d")
-    # (class count checked above) x draws, counted per drawn rank in the task that makes them
+    numbered = df.sparkSession.range(top).withColumnRenamed("id", "__d")
+    # the class count was checked above; a draw is made only for classes still short
     draws = numbered.join(F.broadcast(need), F.col("__d") < F.col("__need"))
     text = F.concat(F.col(label).cast("string"), F.lit(":"), F.col("__d").cast("string"))
     drawn = (
@@ -187,19 +183,28 @@ def oversample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame
     )
     short = known.join(F.broadcast(need.select(label)), label, "left_semi")
     ranked = hash_ranked(short, key, label, seed, "__rank")
-    hit = ranked.join(drawn, [label, "__rank"]).drop("__rank")
-    copies = repeat_rows(hit, "__times", "copy")
+    return ranked.join(drawn, [label, "__rank"]).select(*df.columns, "__times")
+
+
+def oversample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
+    """Every class raised to the size of the largest by draws with replacement.
+
+    Adds ``copy``: 0 for the row itself, 1, 2, ... for its drawn copies.
+    """
+    copies = repeat_rows(drawn_rows(df, key, label, seed), "__times", "copy", key)
+    known = df.filter(F.col(label).isNotNull())
     return known.withColumn("copy", F.lit(0).cast("bigint")).unionByName(copies.select(*df.columns, "copy"))
 
 
-def repeat_rows(df: DataFrame, times: str, output: str) -> DataFrame:
+def repeat_rows(df: DataFrame, times: str, output: str, key: str) -> DataFrame:
     """Each row ``times`` times, numbered from 1.
 
     Two explodes with a shuffle between them: a row repeated very often becomes
     chunks that several tasks unfold.
     """
-    chunks = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / _REPEAT_CHUNK))))
-    spread = chunks.repartition(*df.columns, "__chunk")
+    last_chunk = F.floor((F.col(times) - 1) / _REPEAT_CHUNK)
+    chunks = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
+    spread = chunks.repartition(key, "__chunk")
     first = F.col("__chunk") * _REPEAT_CHUNK
     last = F.least(first + _REPEAT_CHUNK, F.col(times))
     return spread.withColumn(output, F.explode(F.sequence(first + 1, last))).drop("__chunk", times)

@@ -1 +1,292 @@
-"""To come."""
+"""Models, selection and balancing over orders seen as pitches, and over the embeddings."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabloom.operators import evaluate
+from tabloom.operators.balance import smote
+from tabloom.operators.neighbours import distinct_points, nearest_points
+from tabloom.operators.prepare import Block, Preparer, feature_names
+from tabloom.operators.roles import FeatureGroups
+from tabloom.operators.sample import sides, stratified_split
+from tabloom.plans import flows, models, select
+from tabloom.plans.checked import checked
+from tabloom.plans.checked.inputs import pitches_from_orders, table
+from tabloom.plans.checked.sampling_queries import ranked_sql
+from tabloom.session import ensure_checkpoint_dir
+
+KEY, LABEL = "pitch_key", "description"
+
+GROUPS = FeatureGroups(
+    target=LABEL,
+    categorical=("stand",),
+    identifying=("pitcher",),
+    id_flags=("on_1b", "on_2b", "on_3b"),
+    discrete=("balls", "strikes", "inning", "home_score", "away_score", "age_pit", "age_bat"),
+    continuous=("release_speed", "release_spin_rate", "pfx_x", "pfx_z", "plate_x", "plate_z", "sz_top", "sz_bot"),
+    hashed=("pitcher", "on_1b", "on_2b", "on_3b"),
+)
+
+
+def _pitches(spark: SparkSession, d: str) -> DataFrame:
+    """The pitch view with an outcome that depends on it, so models have something to find."""
+    speed = F.coalesce("release_speed", F.lit(80.0))
+    outcome = (
+        F.when((F.col("strikes") == 2) & (speed > 85), "swinging_strike")
+        .when(F.col("plate_z") > 3.4, "ball")
+        .when(F.col("plate_x") < -0.4, "foul")
+        .when(F.col("pitch_key") % 9 == 0, "ball")
+        .otherwise("called_strike")
+    )
+    return pitches_from_orders(spark, d).withColumn(LABEL, outcome)
+
+
+def _forest(trees: int = 10, depth: int = 6):
+    return lambda _: models.random_forest(trees, depth)
+
+
+@checked()
+def forest_report(spark: SparkSession, d: str) -> DataFrame:
+    return flows.forest_run(_pitches(spark, d), KEY, LABEL, flows.hashed_blocks(GROUPS), trees=20, depth=5).report
+
+
+@checked()
+def forest_importances(spark: SparkSession, d: str) -> DataFrame:
+    run = flows.forest_run(_pitches(spark, d), KEY, LABEL, flows.counted_blocks(GROUPS), trees=20, depth=5)
+    return run.importance.limit(15)
+
+
+@checked()
+def engineered_forest_report(spark: SparkSession, d: str) -> DataFrame:
+    """Feature step first, inside the fitted pipeline."""
+    more = [
+        *flows.counted_blocks(GROUPS),
+        Block("made", ["count_leverage", "break_magnitude", "pitch_location_from_center"], "mean", scale="standard"),
+        Block("state", ["inning_phase", "count_state"], encode="onehot"),
+    ]
+    return flows.forest_run(_pitches(spark, d), KEY, LABEL, more, trees=20, depth=5, engineered=True).report
+
+
+@checked()
+def baseline_forest_report(spark: SparkSession, d: str) -> DataFrame:
+    df = _pitches(spark, d)
+    features = [*GROUPS.continuous, *GROUPS.discrete, *GROUPS.categorical]
+    return flows.forest_run(df, KEY, LABEL, flows.typed_blocks(df, features), trees=20, depth=5).report
+
+
+@checked()
+def ordinal_forest_report(spark: SparkSession, d: str) -> DataFrame:
+    df = _pitches(spark, d)
+    features = [*GROUPS.continuous, *GROUPS.discrete, *GROUPS.categorical]
+    return flows.model_run(df, KEY, LABEL, flows.ordinal_blocks(df, features), _forest(), stratified=False).report
+
+
+@checked()
+def extra_trees_report(spark: SparkSession, d: str) -> DataFrame:
+    make = lambda _: models.extra_trees(10, 6)
+    return flows.model_run(_pitches(spark, d), KEY, LABEL, flows.counted_blocks(GROUPS), make).report
+
+
+@checked()
+def logreg_report(spark: SparkSession, d: str) -> DataFrame:
+    make = lambda rows: models.logistic_regression(rows.count(), 100)
+    return flows.model_run(_pitches(spark, d), KEY, LABEL, flows.counted_blocks(GROUPS), make).report
+
+
+@checked()
+def boosted_report(spark: SparkSession, d: str) -> DataFrame:
+    make = lambda _: models.boosted_trees(rounds=5, depth=3)
+    return flows.model_run(_pitches(spark, d), KEY, LABEL, flows.counted_blocks(GROUPS), make).report
+
+
+@checked()
+def mlp_report(spark: SparkSession, d: str) -> DataFrame:
+    """Columns sorted by statistics, two hidden layers, plain random split."""
+    df = _pitches(spark, d).drop("on_1b", "on_2b", "on_3b")
+    blocks = flows.role_blocks(df, LABEL, [KEY, "pitcher"])
+    return flows.model_run(df, KEY, LABEL, blocks, flows.perceptron_maker(iterations=60), stratified=False).report
+
+
+@checked()
+def two_stage_models(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome first; for one outcome only, a second model says where."""
+    df = _pitches(spark, d).withColumn(
+        "hit_location", F.when(F.col(LABEL) == "foul", (F.col("inning") % 3 + 7).cast("string"))
+    )
+    train, test = sides(stratified_split(df, KEY, LABEL))
+    model = models.fit_two_stage(
+        train, LABEL, "hit_location", "foul", Preparer(flows.counted_blocks(GROUPS)), _forest(20, 8)
+    )
+    out = model.predict(test)
+    return out.groupBy(LABEL, "predicted_type", "predicted_place").agg(F.count("*").alias("n"))
+
+
+@checked()
+def class_probability_means(spark: SparkSession, d: str) -> DataFrame:
+    df = _pitches(spark, d)
+    train, test = sides(stratified_split(df, KEY, LABEL))
+    fitted = models.fit(train, LABEL, Preparer(flows.counted_blocks(GROUPS)), _forest())
+    out = models.class_probabilities(fitted.predict(test), fitted.classes, [LABEL])
+    return out.groupBy(LABEL).agg(*[F.avg(c).alias(c) for c in fitted.classes])
+
+
+@checked()
+def saved_model_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Counts from a fitted pipeline written, read back and applied."""
+    df = _pitches(spark, d)
+    train, test = sides(stratified_split(df, KEY, LABEL))
+    fitted = models.fit(train, LABEL, Preparer(flows.hashed_blocks(GROUPS)), _forest())
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    fitted.save(path)
+    again = models.Fitted.load(path)
+    return evaluate.confusion(again.predict(test), LABEL, models.PREDICTED)
+
+
+@checked()
+def evaluation_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Every report of one prediction frame, as (report, class, other, value)."""
+    df = _pitches(spark, d)
+    train, test = sides(stratified_split(df, KEY, LABEL))
+    fitted = models.fit(train, LABEL, Preparer(flows.counted_blocks(GROUPS)), _forest())
+    got = evaluate.evaluation(fitted.predict(test), LABEL, models.PREDICTED, fitted.classes)
+    none = F.lit(None).cast("string")
+
+    def part(name, frame, a, b, value):
+        return frame.select(
+            F.lit(name).alias("report"), F.col(a).alias("class"), (none if b is None else F.col(b)).alias("other"),
+            F.col(value).cast("double").alias("value"),
+        )
+
+    return (
+        part("f1", got["classification_report"], "class", None, "f1")
+        .unionByName(part("confusion", got["confusion_matrix"], "label", "prediction", "count"))
+        .unionByName(part("errors", got["errors"], "true_label", "predicted_label", "count"))
+        .unionByName(part("roc_auc", got["roc_auc"], "class", None, "auc"))
+    )
+
+
+@checked()
+def cross_validated_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Five metrics on both sides of every fold of repeated cross validation."""
+    blocks = Preparer(flows.counted_blocks(GROUPS))
+    return select.cross_validate(_pitches(spark, d), KEY, LABEL, blocks, _forest(5, 4), folds=2, repeats=2)
+
+
+@checked()
+def search_table(spark: SparkSession, d: str) -> DataFrame:
+    grid = {"trees": [5, 10, 15], "depth": [3, 5, 7], "leaf": [1, 4]}
+    run = flows.searched_run(_pitches(spark, d), KEY, LABEL, flows.counted_blocks(GROUPS), grid, draws=3, folds=2)
+    return run.search
+
+
+@checked()
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    train, test = sides(stratified_split(_pitches(spark, d), KEY, LABEL))
+    makers = {
+        "random_forest": _forest(),
+        "extra_trees": lambda _: models.extra_trees(10, 6),
+        "logistic_regression": lambda rows: models.logistic_regression(rows.count(), 50),
+        "boosted_trees": lambda _: models.boosted_trees(rounds=3, depth=3),
+    }
+    return select.compare_models(train, test, LABEL, Preparer(flows.counted_blocks(GROUPS)), makers)
+
+
+@checked()
+def balance_comparison(spark: SparkSession, d: str) -> DataFrame:
+    train, test = sides(stratified_split(_pitches(spark, d), KEY, LABEL))
+    return select.compare_balancing(train, test, KEY, LABEL, Preparer(flows.counted_blocks(GROUPS)), _forest(5, 5))
+
+
+@checked()
+def feature_set_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """With and without a leaking column, cross-validated."""
+    df = _pitches(spark, d).withColumn("leak", F.length(LABEL))
+    clean = flows.counted_blocks(GROUPS)
+    sets = {"all": Preparer([*clean, Block("leak", ["leak"], "mean")]), "cleaned": Preparer(clean)}
+    return select.compare_feature_sets(df, KEY, LABEL, sets, _forest(5, 5), folds=2)
+
+
+@checked()
+def importance_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Features of at least median importance."""
+    df = _pitches(spark, d)
+    train, _ = sides(stratified_split(df, KEY, LABEL))
+    fitted = models.fit(train, LABEL, Preparer(flows.counted_blocks(GROUPS)), _forest())
+    names = feature_names(fitted.predict(train.limit(0)))
+    kept = select.select_by_importance(fitted.classifier)
+    ranked = select.importances(fitted.classifier, names, spark)
+    return ranked.filter(F.col("feature").isin([names[i] for i in kept]))
+
+
+@checked()
+def rfe_curve(spark: SparkSession, d: str) -> DataFrame:
+    blocks = Preparer(flows.counted_blocks(GROUPS))
+    return select.recursive_elimination(
+        _pitches(spark, d), KEY, LABEL, blocks, _forest(5, 4), folds=2, floor=10, step=6
+    )[0]
+
+
+@checked()
+def screening_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse and id-like columns out, then every screen over what is left."""
+    return flows.screening_run(_pitches(spark, d).drop(KEY), LABEL, missing=0.2)
+
+
+# ---------------------------------------------------------------- neighbours and synthetic rows
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(
+        "vec_id", (F.col("label") % 3).alias("label"), F.col("embedding").cast("array<double>").alias("x")
+    )
+
+
+_VECTORS = "SELECT vec_id, CAST(label % 3 AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+_RANKED_PAIRS = (
+    "SELECT a.vec_id, a.label, a.x, b.vec_id AS neighbour, b.x AS y, list_distance(a.x, b.x) AS distance, "
+    "row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS rank "
+    "FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id"
+)
+
+
+@checked(
+    f"WITH v AS ({_VECTORS}), p AS ({_RANKED_PAIRS}) "
+    "SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(distance, 6) AS distance FROM p WHERE rank <= 5"
+)
+def nearest_in_class(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors of the same class, exactly."""
+    points = distinct_points(_vectors(spark, d), "vec_id", "label", "x")
+    out = nearest_points(points, 5)
+    return out.select(F.col("id").alias("vec_id"), "rank", "neighbour", F.round("distance", 6).alias("distance"))
+
+
+def _hash_sql(text: str, seed: str) -> str:
+    return f"CAST('0x' || substr(md5({text} || ':{seed}'), 1, 15) AS BIGINT)"
+
+
+_PICK = "CAST(vec_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)"
+
+
+@checked(f"""
+WITH v AS ({_VECTORS}), p AS ({_RANKED_PAIRS}),
+r AS ({ranked_sql(42, "label", "v", "vec_id")}),
+c AS (SELECT label, max(n) AS n, max(max(n)) OVER () - max(n) AS need FROM r GROUP BY 1),
+m AS (SELECT label, unnest(range(need)) AS d, n FROM c),
+t AS (SELECT label, {_hash_sql("CAST(label AS VARCHAR) || ':' || CAST(d AS VARCHAR)", "42")} % n AS r, count(*) AS times FROM m GROUP BY 1, 2),
+b AS (SELECT r.vec_id, r.label, r.x, unnest(range(1, t.times + 1)) AS copy FROM r JOIN t ON r.label = t.label AND r.r = t.r),
+s AS (SELECT b.*, {_hash_sql(_PICK, "42:neighbour")} % 5 AS pick, {_hash_sql(_PICK, "42:step")} / 1152921504606846976.0E0 AS u FROM b)
+SELECT vec_id, label, CAST(0 AS BIGINT) AS copy, round(x[1], 6) AS first, round(list_sum(x), 6) AS total FROM v
+UNION ALL
+SELECT s.vec_id, s.label, s.copy, round(s.x[1] + u * (p.y[1] - s.x[1]), 6), round(list_sum(s.x) + u * (list_sum(p.y) - list_sum(s.x)), 6)
+FROM s JOIN p ON s.vec_id = p.vec_id AND p.rank = s.pick + 1""")
+def smote_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Given rows and rows made between neighbours, every class at the size of the largest."""
+    out = smote(_vectors(spark, d), "vec_id", "label", "x", k=5)
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return out.select(
+        "vec_id", "label", "copy", F.round(F.col("x")[0], 6).alias("first"), F.round(total, 6).alias("total")
+    )
