@@ -55,7 +55,8 @@ class HashCuts:
         )
         # a cut behind the last row of its group has no digest and marks nothing
         at = hash_cutpoints(self.keys, self.key, seed, cuts, [_ALL], self.small)
-        digests = at.groupBy(_ALL).pivot("cut", list(range(len(positions)))).agg(F.first("digest"))
+        # one row per group, kept: every later pass over the rows compares with it
+        digests = at.groupBy(_ALL).pivot("cut", list(range(len(positions)))).agg(F.first("digest")).persist()
         table = F.broadcast(digests) if self.small else digests
         rows = df.withColumn("__g", self._group()).alias("d")
         joined = rows.join(table.alias("c"), F.col("d.__g").eqNullSafe(F.col(f"c.{_ALL}")), "left")
