@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.ranks import ROWS_PER_CELL, running_sums
+from tabloom.operators.ranks import ROWS_PER_CELL, cell_splits, running_sums
 
 
 def _pair_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -164,8 +164,8 @@ def threshold_counts(scored: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> D
         [F.desc("score")],
         "score",
         {"tp": F.col("pos"), "fp": F.col("k") - F.col("pos")},
+        cell_splits(at, "score", at.count(), rows_per_cell),
         descending=True,
-        rows_per_cell=rows_per_cell,
     )
     totals = at.groupBy("class").agg(
         F.sum("pos").alias("positives"), (F.sum("k") - F.sum("pos")).alias("negatives")

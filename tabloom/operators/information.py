@@ -10,16 +10,14 @@ counts come from running totals.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.operators.aggregate import long_form
 from tabloom.operators.quantiles import exact_medians
-from tabloom.operators.ranks import ROWS_PER_CELL, running_sums
+from tabloom.operators.ranks import ROWS_PER_CELL, cell_splits, in_cells, running_sums
 
 # Distances closer than this share of the operands are one distance.
 _TIE = 2e-15
@@ -41,7 +39,7 @@ def digamma(n: Column) -> Column:
 
 
 def with_neighbours(
-    df: DataFrame, by: Sequence[str], x: str, carry: str, k: int, rows: int, rows_per_cell: int = ROWS_PER_CELL
+    df: DataFrame, by: Sequence[str], x: str, carry: str, k: int, splits: list[float] | None
 ) -> DataFrame:
     """Add the k rows before and after each row of its group's order by ``x``.
 
@@ -50,16 +48,10 @@ def with_neighbours(
     that precede and follow them, reaching over cells with fewer than k rows.
     """
     by = list(by)
-    if rows <= rows_per_cell:
+    if splits is None:
         return _lags(df, Window.partitionBy(*by).orderBy(x), x, carry, k)
 
-    cells = min(20_000, 2 * math.ceil(rows / rows_per_cell))
-    probs = [i / cells for i in range(1, cells)]
-    edges = df.agg(F.percentile_approx(x, probs, 10 * cells).alias("e")).first()["e"]
-    celled = Bucketizer(
-        splits=[-math.inf, *sorted(set(edges)), math.inf], inputCol=x, outputCol="__cell"
-    ).transform(df)
-
+    celled = in_cells(df, x, splits)
     counts = celled.groupBy(*by, "__cell").agg(F.count("*").alias("__k"))
     along = Window.partitionBy(*by).orderBy("__cell")
     near = counts.select(
@@ -135,34 +127,34 @@ def neighbour_information(
     )
     sizes = points.groupBy("feature", "class").agg(F.sum("c").alias("size")).filter(F.col("size") > 1)
     kept = points.join(sizes, ["feature", "class"]).persist()
-    rows = kept.count()
+    splits = cell_splits(kept, "x", kept.count(), rows_per_cell)
 
-    near = with_neighbours(kept, ["feature", "class"], "x", "c", k, rows, rows_per_cell)
+    near = with_neighbours(kept, ["feature", "class"], "x", "c", k, splits)
     reach = F.least(F.lit(k), F.col("size") - 1)
-    radius = near.withColumn("reach", reach).withColumn("d", _kth_distance(k))
+    near = near.withColumn("reach", reach).withColumn("d", _kth_distance(k))
     tie = F.lit(_TIE) * (F.abs("x") + F.col("d"))
-    radius = radius.withColumn("r", F.greatest(F.col("d") - tie, F.lit(0.0))).select(
-        "feature", "class", "x", "c", "size", "reach", "r"
-    )
-
-    # points and both ends of every interval, merged in one order
-    values = kept.groupBy("feature", "x").agg(F.sum("c").alias("w"))
-    null = F.lit(None)
-    merged = (
-        values.select("feature", "x", F.lit(1).alias("kind"), "w", null.cast("string").alias("class"), null.cast("double").alias("of"))
-        .unionByName(_ends(radius, F.col("x") - F.col("r"), 0))
-        .unionByName(_ends(radius, F.col("x") + F.col("r"), 2))
-    )
+    r = F.greatest(F.col("d") - tie, F.lit(0.0))
+    asked = near.select(
+        "feature", "class", F.col("x").alias("of"), F.col("c").alias("weight"), "size", "reach", F.lit(0).cast("bigint").alias("w"),
+        F.inline(
+            F.array(
+                F.struct((F.col("x") - r).alias("x"), F.lit(0).alias("kind")),
+                F.struct((F.col("x") + r).alias("x"), F.lit(2).alias("kind")),
+            )
+        ),
+    )
+    # points (kind 1) and both ends of every interval (0 and 2), merged in one order
+    values = kept.groupBy("feature", "x").agg(F.sum("c").alias("w")).withColumn("kind", F.lit(1))
+    merged = asked.unionByName(values, allowMissingColumns=True)
     counted = running_sums(
-        merged, ["feature"], [F.col("x"), F.col("kind")], "x", {"upto": F.col("w")}, rows=3 * rows, rows_per_cell=rows_per_cell
+        merged, ["feature"], [F.col("x"), F.col("kind")], "x", {"upto": F.col("w")}, splits
     )
-    within = (
+    full = (
         counted.filter(F.col("kind") != 1)
-        .groupBy("feature", "class", F.col("of").alias("x"))
+        .groupBy("feature", "class", "of", "weight", "size", "reach")
         .agg(F.sum(F.when(F.col("kind") == 2, F.col("upto")).otherwise(-F.col("upto"))).alias("m"))
     )
-    full = radius.join(within, ["feature", "class", "x"])
-    w = F.col("c")
+    w = F.col("weight")
     mean = lambda e: F.sum(w * e) / F.sum(w)
     score = (
         digamma(F.sum(w))
@@ -173,12 +165,6 @@ def neighbour_information(
     return full.groupBy("feature").agg(F.greatest(F.lit(0.0), score).alias("score"))
 
 
-def _ends(radius: DataFrame, at: Column, kind: int) -> DataFrame:
-    return radius.select(
-        "feature", at.alias("x"), F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("w"), "class", F.col("x").alias("of")
-    )
-
-
 def _kth_distance(k: int) -> Column:
     """Distance to the ``reach``-th neighbour, from counted neighbours on both sides.
 

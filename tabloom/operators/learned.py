@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark import keyword_only
 from pyspark.ml import Model
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import (
     DefaultParamsReadable,
@@ -67,21 +66,6 @@ class ColumnExpressions(Model, DefaultParamsReadable, DefaultParamsWritable):
         return dataset.withColumns({name: F.expr(e) for name, e in pairs})
 
 
-class ArrayToVector(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """Turns an array column into a vector, in place."""
-
-    column = Param(Params._dummy(), "column", "array column", TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, *, column=None):
-        super().__init__()
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        name = self.getOrDefault(self.column)
-        return dataset.withColumn(name, array_to_vector(F.col(name)))
-
-
 class _LookupWriter(MLWriter):
     def __init__(self, model: "LookupModel"):
         super().__init__()

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.operators.aggregate import long_form, wide_stats
-from tabloom.operators.learned import ArrayToVector, ColumnExpressions, LookupModel, sql_literal, sql_name
+from tabloom.operators.learned import ColumnExpressions, LookupModel, sql_literal, sql_name
 from tabloom.operators.quantiles import exact_quantiles
 
 PREFIX = "p__"
@@ -249,21 +249,20 @@ class HashEncoding(_Columns):
 
 
 def hash_stages(columns: Sequence[str], output: str, buckets: int) -> list:
-    """Each value is hashed once into a bucket column; the counters compare those."""
+    """Values become bucket numbers, and a row's buckets are counted into a sparse vector.
+
+    One expression per counter would outgrow what the JVM compiles; the counting
+    stage works in time proportional to the number of columns.
+    """
     if buckets < 1 or buckets > 256 or buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two up to 256")
-    held = [f"{output}__b{j}" for j in range(len(columns))]
-    bucket_of = [
-        f"CAST(conv(right(md5(coalesce(CAST({sql_name(c)} AS STRING), 'nan')), 2), 16, 10) AS INT) % {buckets}"
+    words = ", ".join(
+        f"CAST(CAST(conv(right(md5(coalesce(CAST({sql_name(c)} AS STRING), 'nan')), 2), 16, 10) AS INT) % {buckets} AS STRING)"
         for c in columns
-    ]
-    counters = ", ".join(
-        "CAST(" + " + ".join(f"CAST({sql_name(h)} = {i} AS INT)" for h in held) + " AS DOUBLE)"
-        for i in range(buckets)
     )
     return [
-        ColumnExpressions(outputs=held, expressions=bucket_of),
-        ColumnExpressions(outputs=[output], expressions=[f"array({counters})"]),
+        ColumnExpressions(outputs=[f"{output}__b"], expressions=[f"array({words})"]),
+        CountVectorizerModel.from_vocabulary([str(i) for i in range(buckets)], f"{output}__b", output),
     ]
 
 
@@ -479,8 +478,7 @@ class Preparer:
                 assembled += [o for _, o in pairs]
             elif b.encode == "hash":
                 out = f"{PREFIX}{b.name}_hash"
-                stages += [*hash_stages(b.columns, out, b.buckets), ArrayToVector(column=out)]
-                stages.append(VectorSizeHint(inputCol=out, size=b.buckets, handleInvalid="optimistic"))
+                stages += hash_stages(b.columns, out, b.buckets)
                 assembled.append(out)
             elif b.encode in ("frequency", "share"):
                 own = values.filter(F.col("column").isin(list(b.columns)))

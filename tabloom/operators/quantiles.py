@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.aggregate import long_form, wide_stats
 from tabloom.operators.lookup import lookup
-from tabloom.operators.ranks import running_sums
+from tabloom.operators.ranks import cell_splits, running_sums
 
 _ACCURACY = 10_000
 _MARGIN = 3e-4  # sketch error 1e-4, plus interpolation to the next row
@@ -72,13 +72,9 @@ def exact_quantiles(
         .persist()
     )
     group = [*by, "column", "prob"]
-    ranked = running_sums(
-        counted.withColumn("along", F.coalesce("value", F.lit(float("-inf")))),
-        group,
-        [F.col("along")],
-        "along",
-        {"upto": F.col("k")},
-    )
+    ordered = counted.withColumn("along", F.coalesce("value", F.lit(float("-inf"))))
+    splits = cell_splits(ordered, "along", counted.count())
+    ranked = running_sums(ordered, group, [F.col("along")], "along", {"upto": F.col("k")}, splits)
     joined = ranked.join(brackets.select(*group, "n"), group)
     position = F.col("prob") * (F.col("n") - 1)
     lower, upper = F.floor(position), F.ceil(position)

@@ -17,48 +17,58 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import hash_cell, hash_text
 
-ROWS_PER_CELL = 2_000_000
+ROWS_PER_CELL = 500_000
 _MAX_CELLS = 20_000
 _FROM_START = Window.unboundedPreceding
 
 
+def cell_splits(df: DataFrame, along: str, rows: int, rows_per_cell: int = ROWS_PER_CELL) -> list[float] | None:
+    """Bounds of equal-depth cells over a numeric column, or None if one cell is enough.
+
+    The bounds come from a mergeable sketch; being approximate they only vary
+    the cell sizes, never a result.
+    """
+    if rows <= rows_per_cell:
+        return None
+    cells = min(_MAX_CELLS, 2 * math.ceil(rows / rows_per_cell))
+    probs = [i / cells for i in range(1, cells)]
+    edges = df.agg(F.percentile_approx(along, probs, 10 * cells).alias("e")).first()["e"]
+    return [-math.inf, *sorted(set(edges)), math.inf]
+
+
+def in_cells(df: DataFrame, along: str, splits: list[float]) -> DataFrame:
+    """Add ``__cell``, the number of the cell a value falls in."""
+    wide = df.withColumn("__along", F.col(along).cast("double"))
+    cut = Bucketizer(splits=splits, inputCol="__along", outputCol="__cell", handleInvalid="keep")
+    return cut.transform(wide).drop("__along")
+
+
 def running_sums(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
     along: str,
     sums: Mapping[str, Column],
+    splits: list[float] | None,
     descending: bool = False,
-    rows: int | None = None,
-    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Add inclusive running totals over ``order`` within ``by``.
 
-    ``along`` is the numeric column leading the order. Equal values share a
-    cell, so callers aggregate ties first. ``rows`` saves the size check when
-    the caller already knows the row count.
+    ``along`` is the numeric column leading the order and ``splits`` its cells,
+    from ``cell_splits``. Equal values share a cell, so callers aggregate ties
+    first.
     """
     by = list(by)
-    if rows is None:
-        rows = df.count()
     named = df.withColumns({f"__v_{n}": e for n, e in sums.items()})
-    if rows <= rows_per_cell:
+    if splits is None:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(_FROM_START, 0)
         return named.withColumns({n: F.sum(f"__v_{n}").over(w) for n in sums}).drop(
             *[f"__v_{n}" for n in sums]
         )
 
-    cells = min(_MAX_CELLS, 2 * math.ceil(rows / rows_per_cell))
-    probs = [i / cells for i in range(1, cells)]
-    edges = df.agg(F.percentile_approx(along, probs, 10 * cells).alias("e")).first()["e"]
-    splits = [-math.inf, *sorted(set(edges)), math.inf]
-    celled = Bucketizer(
-        splits=splits, inputCol="__along", outputCol="__cell", handleInvalid="keep"
-    ).transform(named.withColumn("__along", F.col(along).cast("double")))
-    celled = celled.withColumn(
-        "__cell", (F.lit(-1) if descending else F.lit(1)) * F.col("__cell")
-    ).drop("__along")
-
+    celled = in_cells(named, along, splits)
+    if descending:
+        celled = celled.withColumn("__cell", -F.col("__cell"))
     totals = celled.groupBy(*by, "__cell").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy("__cell").rowsBetween(_FROM_START, -1)
     carried = totals.select(

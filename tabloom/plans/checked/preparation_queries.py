@@ -207,7 +207,7 @@ def _bucket_sql(c: str) -> str:
 def hash_encode(spark: SparkSession, d: str) -> DataFrame:
     g = orders_with_gaps(spark, d)
     out = HashEncoding(inputCols=_HASHED, outputCols=["h"], buckets=32).fit(g).transform(g)
-    return out.select("o_orderkey", *[F.col("h")[i].alias(f"h_{i}") for i in range(32)])
+    return _slots(out, "o_orderkey", "h", [f"h_{i}" for i in range(32)])
 
 
 @checked(f"""

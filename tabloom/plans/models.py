@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.prepare import Preparer
 from tabloom.operators.sample import with_class_weights
+from tabloom.session import kept_spread
 
 LABEL, WEIGHT, PREDICTED = "label_index", "class_weight", "predicted"
 
@@ -116,7 +117,7 @@ def fit(
     if weighted:
         ready = with_class_weights(ready, LABEL, WEIGHT)
     kept = [c for c in (LABEL, WEIGHT, preparer.output) if c in ready.columns]
-    rows = ready.select(*kept).persist()
+    rows = kept_spread(ready.select(*kept))
     try:
         fitted = classifier(rows).fit(rows)
     finally:

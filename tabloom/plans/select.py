@@ -23,7 +23,7 @@ from tabloom.operators import evaluate
 from tabloom.operators.prepare import Preparer, feature_names
 from tabloom.operators.sample import repeated_folds, stratified_folds
 from tabloom.plans.models import LABEL, Fitted, fit, label_indexer
-from tabloom.session import durable
+from tabloom.session import durable, kept_spread
 
 METRICS = ("accuracy", "f1_weighted", "precision_weighted", "recall_weighted", "roc_auc_ovr")
 
@@ -55,7 +55,7 @@ class PreparedSplit:
         self.classes = list(self.indexer.labels)
         columns = [*keep, LABEL, preparer.output]
         self.train, self.test = (
-            self.indexer.transform(self.model.transform(side)).select(*columns).persist() for side in (known, test)
+            kept_spread(self.indexer.transform(self.model.transform(side)).select(*columns)) for side in (known, test)
         )
         self.names = feature_names(self.train, preparer.output)
 
@@ -129,7 +129,6 @@ def random_search(
     seconds = [0.0 for _ in tried]
     for _, train, test in _fold_splits(folded, "fold", folds):
         with PreparedSplit(train, test, label, preparer) as split:
-            split.train.count()  # fill the cache once, before settings race for it
 
             def run(i: int) -> None:
                 start = time.perf_counter()
@@ -271,7 +270,7 @@ def recursive_elimination(
     slots, classes = list(range(len(names))), known.select(label).distinct().count()
     by_size: dict[int, list[float]] = {}
     for _, train, test in _fold_splits(rows, "fold", folds):
-        train, test = train.persist(), test.persist()
+        train, test = kept_spread(train), kept_spread(test)
         for kept, model in _eliminate(train, slots, make, floor, step, preparer.output):
             seen = keep_slots(test, kept, preparer.output)
             by_size.setdefault(len(kept), []).append(score(model, seen, classes, [metric])[metric])

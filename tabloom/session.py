@@ -45,3 +45,19 @@ def durable(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept_spread(df: DataFrame) -> DataFrame:
+    """Keep a frame that a fit will pass over many times, in at least one part per core.
+
+    A table read from few files would otherwise train on few cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    kept = df.persist()
+    kept.count()
+    if kept.rdd.getNumPartitions() >= cores:
+        return kept
+    spread = kept.repartition(cores).persist()
+    spread.count()
+    kept.unpersist()
+    return spread
