@@ -13,51 +13,17 @@ from tabloom.operators.aggregate import long_form, wide_stats
 from tabloom.operators.quantiles import exact_medians
 from tabloom.operators.roles import names_where
 
-# Beyond this the generated aggregate grows past what the JVM compiles, and the
-# matrix products per task are several times faster (measured on 6 columns).
-_PAIRS_BY_AGGREGATE = 3
-
-
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(i, j, a, b, n, corr) for each pair i < j, each over its complete rows; undefined -> null."""
+    """(i, j, a, b, n, corr) for each pair i < j, each over its complete rows; undefined -> null.
+
+    Pairwise sums of all columns are matrix products, one set per task. Values
+    are shifted by the column mean first, so the sums do not cancel. Each task
+    emits a fixed number of rows whatever its length. (One aggregate over all
+    pairs outgrows what the JVM compiles: six times slower at six columns.)
+    """
     columns = list(columns)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, a string, b string, n long, corr double")
-    if len(columns) <= _PAIRS_BY_AGGREGATE:
-        return _few_correlations(df, columns)
-    return _many_correlations(df, columns)
-
-
-def _few_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = [(i, j) for j in range(len(columns)) for i in range(j)]
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    exprs = []
-    for i, j in pairs:
-        a, b = F.col(columns[i]), F.col(columns[j])
-        both = a.isNotNull() & b.isNotNull()
-        exprs += [F.count_if(both).alias(f"n_{i}_{j}"), F.corr(a, b).alias(f"r_{i}_{j}")]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(columns[i]).alias("a"),
-                F.lit(columns[j]).alias("b"),
-                F.col(f"n_{i}_{j}").alias("n"),
-                F.when(~F.isnan(f"r_{i}_{j}"), F.col(f"r_{i}_{j}")).alias("corr"),
-            )
-            for i, j in pairs
-        ]
-    )
-    return data.agg(*exprs).select(F.inline(rows))
-
-
-def _many_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise sums of all columns as matrix products, one set per task.
-
-    Values are shifted by the column mean first, so the sums do not cancel. Each
-    task emits a fixed number of rows whatever its length.
-    """
     width = len(columns)
     means = {
         r["column"]: r["m"] or 0.0

@@ -137,7 +137,7 @@ def random_search(
                 seconds[i] += time.perf_counter() - start
 
             with ThreadPool(parallelism) as pool:
-                pool.map(inheritable_thread_target(run), range(len(tried)))
+                pool.map(inheritable_thread_target(df.sparkSession)(run), range(len(tried)))
     means = [statistics.fmean(s) for s in scores]
     order = sorted(range(len(tried)), key=lambda i: (-means[i], i))
     rank = {i: n + 1 for n, i in enumerate(order)}
