@@ -36,6 +36,19 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("k"))
 
 
+def most_frequent_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value): commonest number per column, ties to the smallest."""
+    return (
+        long_form(df, columns, as_type="double")
+        .filter(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.count("*").alias("k"))
+        .groupBy("column")
+        .agg(F.min(F.struct(-F.col("k"), F.col("value"))).alias("m"))
+        .select("column", F.col("m.value").alias("value"))
+    )
+
+
 def most_frequent(values: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """(column, value): commonest value per column, ties to the smallest.
 
@@ -96,9 +109,13 @@ def _fills(df: DataFrame, columns: Sequence[str], strategy: str, constant, value
         rows = exact_quantiles(df, columns, [0.5]).collect()
         return {r["column"]: r["value"] for r in rows}
     if strategy == "most_frequent":
-        table = value_table(df, columns) if values is None else values
-        rows = most_frequent(table.filter(F.col("column").isin(list(columns))), sorted(numeric)).collect()
-        return {r["column"]: float(r["value"]) if r["column"] in numeric else r["value"] for r in rows}
+        if values is not None:
+            rows = most_frequent(values.filter(F.col("column").isin(list(columns))), sorted(numeric)).collect()
+            return {r["column"]: float(r["value"]) if r["column"] in numeric else r["value"] for r in rows}
+        text = [c for c in columns if c not in numeric]
+        found = most_frequent_numbers(df, sorted(numeric)).collect() if numeric else []
+        found += most_frequent(value_table(df, text), []).collect() if text else []
+        return {r["column"]: r["value"] for r in found}
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -454,7 +471,7 @@ class Preparer:
         )
 
     def fit(self, df: DataFrame) -> PipelineModel:
-        by_value = [b for b in self.blocks if b.impute == "most_frequent" or b.encode in ("onehot", "ordinal", "frequency", "share")]
+        by_value = [b for b in self.blocks if b.encode in ("onehot", "ordinal", "frequency", "share")]
         counted = sorted({c for b in by_value for c in b.columns})
         values = value_table(df, counted).persist() if counted else None
         try:
@@ -503,20 +520,22 @@ class Preparer:
 
     def _all_fills(self, df: DataFrame, values: DataFrame | None) -> dict[str, dict]:
         """Fill values of all blocks, each statistic gathered once for every block needing it."""
+
+        def shared(b: Block) -> tuple:
+            counted = b.impute == "most_frequent" and b.encode in ("onehot", "ordinal")
+            return (b.impute, repr(b.fill), counted)
+
         wanted: dict[tuple, list[str]] = {}
         for b in self.blocks:
             if b.impute:
-                key = (b.impute, repr(b.fill))
-                wanted.setdefault(key, []).extend(b.columns)
+                wanted.setdefault(shared(b), []).extend(b.columns)
         got = {}
         for b in self.blocks:
-            key = (b.impute, repr(b.fill))
+            key = shared(b)
             if b.impute and key not in got:
-                got[key] = _fills(df, list(dict.fromkeys(wanted[key])), b.impute, b.fill, values)
-        return {
-            b.name: {c: got[(b.impute, repr(b.fill))].get(c) for c in b.columns} if b.impute else {}
-            for b in self.blocks
-        }
+                known = values if key[-1] else None
+                got[key] = _fills(df, list(dict.fromkeys(wanted[key])), b.impute, b.fill, known)
+        return {b.name: {c: got[shared(b)].get(c) for c in b.columns} if b.impute else {} for b in self.blocks}
 
     @staticmethod
     def _measures(df, b: Block, pairs, gap: Mapping, stats: Mapping) -> dict[str, str]:

@@ -131,8 +131,12 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
     """Add the balanced weight of each row's class."""
-    weights = class_weights(df, label).withColumnRenamed("weight", output).persist()
-    small = is_small(weights, [label])
+    known = df.filter(F.col(label).isNotNull())
+    # one pass over the rows; the weights are read off the kept counts
+    counts = known.groupBy(label).agg(F.count("*").alias("__n")).persist()
+    small = is_small(counts, [label])
+    rows, classes = counts.agg(F.sum("__n"), F.count("*")).first()
+    weights = counts.select(label, (F.lit(rows) / (F.lit(classes) * F.col("__n"))).alias(output))
     return df.join(F.broadcast(weights) if small else weights, label, "left")
 
 

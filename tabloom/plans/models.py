@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +62,23 @@ def perceptron(inputs: int, classes: int, hidden: Sequence[int] = (64, 32), iter
     )
 
 
-def label_indexer(df: DataFrame, label: str) -> StringIndexerModel:
-    """Classes in sorted order to 0..k-1; unknown classes are dropped at evaluation."""
-    return StringIndexer(
-        inputCol=label, outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="skip"
-    ).fit(df)
+def label_counts(df: DataFrame, label: str) -> dict[str, int]:
+    """Class -> rows, classes in sorted order; the classes are the width of the model's output."""
+    counts = df.groupBy(F.col(label).cast("string").alias("c")).agg(F.count("*").alias("n"))
+    return {r["c"]: r["n"] for r in sorted(counts.collect(), key=lambda r: r["c"] or "") if r["c"] is not None}
+
+
+def label_indexer(df: DataFrame, label: str, classes: Sequence[str] | None = None) -> StringIndexerModel:
+    """Classes in sorted order to 0..k-1; rows of unknown classes are dropped."""
+    names = list(label_counts(df, label)) if classes is None else list(classes)
+    return StringIndexerModel.from_labels(names, label, LABEL, "skip")
+
+
+def _balanced_weight(counts: dict[str, int]) -> Column:
+    """Weight of each row's class from its index: rows / (classes x class rows)."""
+    rows = sum(counts.values())
+    weights = F.array(*[F.lit(rows / (len(counts) * n)) for n in counts.values()])
+    return weights[F.col(LABEL).cast("int")]
 
 
 @dataclass
@@ -110,12 +122,15 @@ def fit(
     known = train.filter(F.col(label).isNotNull())
     made = PipelineModel(list(before)).transform(known) if before else known
     prepared = preparer.fit(made)
-    indexer = label_indexer(made, label)
+    counts = label_counts(made, label)
+    indexer = label_indexer(made, label, list(counts))
     ready = indexer.transform(prepared.transform(made))
     if balance is not None:
         ready = balance(ready)
-    if weighted:
-        ready = with_class_weights(ready, LABEL, WEIGHT)
+        if weighted:
+            ready = with_class_weights(ready, LABEL, WEIGHT)
+    elif weighted:
+        ready = ready.withColumn(WEIGHT, _balanced_weight(counts))
     kept = [c for c in (LABEL, WEIGHT, preparer.output) if c in ready.columns]
     rows = kept_spread(ready.select(*kept))
     try:

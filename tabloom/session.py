@@ -54,10 +54,8 @@ def kept_spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     kept = df.persist()
+    if kept.rdd.getNumPartitions() < cores:
+        kept.unpersist()
+        kept = df.repartition(cores).persist()
     kept.count()
-    if kept.rdd.getNumPartitions() >= cores:
-        return kept
-    spread = kept.repartition(cores).persist()
-    spread.count()
-    kept.unpersist()
-    return spread
+    return kept
