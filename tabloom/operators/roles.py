@@ -208,11 +208,3 @@ def drop_ids(df: DataFrame, distinct: int = 50) -> DataFrame:
 def without(columns: Sequence[str], target: str, removed: Sequence[str] = ()) -> list[str]:
     """All columns but the target and a removal list."""
     return [c for c in columns if c != target and c not in set(removed)]
-
-
-def group_names(groups: FeatureGroups) -> list[tuple[str, str, int]]:
-    """(group, column, position) rows of a configuration."""
-    out = []
-    for name in ("excluded", "categorical", "identifying", "id_flags", "discrete", "continuous"):
-        out += [(name, c, i) for i, c in enumerate(getattr(groups, name))]
-    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date
 
 from pyspark.ml import PipelineModel
@@ -87,8 +86,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Explicit projection; an unknown name is an error at analysis."""
-    return df.select(*columns)
