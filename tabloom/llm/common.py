@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.session import durable
+from tabloom.session import ensure_checkpoint_dir
 
 #: A word: a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +28,17 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*marked).alias("__k1"), F.xxhash64(F.lit("2"), *marked).alias("__k2")]
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """The frame as a table written to the shared checkpoint folder.
+
+    The copy outlives executors. Unlike a checkpoint it carries no plan facts from
+    round to round, which would make planning slower with every iteration.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import simhash
+from tabloom.llm import sharding, simhash
 from tabloom.llm.common import durable, table
 
 
@@ -17,6 +17,22 @@ def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.sized(table(spark, sf_dir, "documents")).select(
+        "doc_id", "__size", "__crc", "__g1", "__g2", "__spread"
+    )
+    out = sharding.assign(durable(docs), ["__g1", "__g2"], "__spread", shards=16)
+    return out.select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.col("__crc").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def registered() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
