@@ -9,6 +9,8 @@ from tabloom.llm.common import durable, is_empty
 
 #: A group is moved in units of at most this share of a shard.
 UNITS_PER_SHARD = 4
+#: Hash values of which a unit of a group gets its share.
+UNIT_BITS = 1_024
 #: Hash cells by which arrivals at a shard are admitted.
 ADMISSION_CELLS = 1_024
 #: Rows ranked in one task, about.
@@ -23,16 +25,20 @@ def linked_blocks(docs: DataFrame, group: list[str], spread: str, quota: float,
     ``spread``, so that no unit outgrows a quota.
     """
     most = max(1, int(quota / UNITS_PER_SHARD))
-    sizes = docs.groupBy(*group).agg(F.count("*").alias("size")).filter("size > 1")
+    # rows of a hot group shrink to bits x shards before they meet
+    fine = docs.groupBy(*group, _bits(spread).alias("bits"), first_shard(spread, shards).alias("start")).agg(F.count("*").alias("n"))
+    sizes = fine.groupBy(*group).agg(F.sum("n").alias("size")).filter("size > 1")
     units = sizes.withColumn("units", F.ceil(F.col("size") / F.lit(most))).select(*group, "units")
-    big = docs.select(*group, spread).join(units, group)
-    return big.groupBy(*group, "units", unit_of(spread).alias("unit"), first_shard(spread, shards).alias("start")).agg(
-        F.count("*").alias("n")
-    )
+    unit = F.pmod("bits", "units").cast("int")
+    return fine.join(units, group).groupBy(*group, "units", unit.alias("unit"), "start").agg(F.sum("n").alias("n"))
+
+
+def _bits(spread: str) -> Column:
+    return F.pmod(F.shiftright(F.col(spread), 8), F.lit(UNIT_BITS))
 
 
 def unit_of(spread: str) -> Column:
-    return F.pmod(F.shiftright(F.col(spread), 8), F.col("units")).cast("int")
+    return F.pmod(_bits(spread), F.col("units")).cast("int")
 
 
 def first_shard(spread: str, shards: int) -> Column:
