@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import sharding, simhash
+from tabloom.llm import (
+    decontamination,
+    line_dedup,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
 from tabloom.llm.common import durable, table
+from tabloom.session import ensure_checkpoint_dir
 
 
 def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +31,72 @@ def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = durable(mixing.measured(table(spark, sf_dir, "documents")))
+    return mixing.mix(rows, rows.select("source", "size", "hash")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    m = F.col("matches")
+    return found.select(
+        "doc_id",
+        *[secrets.counted(m, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(secrets.of_kinds(m, secrets.BASE)).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(m).alias("spans"),
+    )
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_pages(table(spark, sf_dir, "pages"), folder)
+    records = warc.read_warc(spark, folder, extra="page=x-page-id", payloads="response")
+    records = records.filter(F.col("record_type").isin("response", "revisit"))
+    whole = F.col("record_type") == "response"
+    return records.select(
+        F.col("page").cast("bigint").alias("page_id"),
+        F.when(whole, F.octet_length("payload")).otherwise(F.col("http_length")).cast("bigint").alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type",
+        F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).try_cast("bigint").alias("refers_to"),
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """``path``: the tokenizer file; the public byte-level one unless named."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, str(path))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", "severity", "toxic")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharding.sized(table(spark, sf_dir, "documents")).select(
         "doc_id", "__size", "__crc", "__g1", "__g2", "__spread"
@@ -37,4 +117,108 @@ def registered() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-SQL: dict[str, str] = {}
+def _mixing_sql() -> str:
+    return r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(0)) || ':17'), 1, 15) AS h
+  FROM documents),
+w AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM d GROUP BY source),
+before AS (
+  SELECT source, s, w,
+         (SELECT sum(s) FROM w) - coalesce(sum(3 * s) OVER o, 0) AS rest,
+         (SELECT sum(w) FROM w) - coalesce(sum(w) OVER o, 0) AS weight
+  FROM w WINDOW o AS (ORDER BY 3.0 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+capped AS (SELECT *, CAST(rest AS DOUBLE) * w / weight >= 3 * s AS is_capped FROM before),
+free AS (
+  SELECT (SELECT sum(s) FROM w) - coalesce(sum(3 * s) FILTER (is_capped), 0) AS rest,
+         sum(w) FILTER (NOT is_capped) AS weight
+  FROM capped),
+goal AS (
+  SELECT c.source, c.s,
+         CASE WHEN is_capped THEN CAST(3 * c.s AS DOUBLE) ELSE CAST(free.rest AS DOUBLE) * c.w / free.weight END AS target
+  FROM capped c CROSS JOIN free),
+budget AS (
+  SELECT source, s, target, CAST(least(floor(target / s), 3) AS BIGINT) AS times,
+         target - least(floor(target / s), 3) * s AS l
+  FROM goal WHERE s > 0),
+hashes AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+run AS (
+  SELECT b.source, h, words, l, sum(words) OVER (PARTITION BY b.source ORDER BY h) AS upto
+  FROM hashes x JOIN budget b ON x.source IS NOT DISTINCT FROM b.source),
+once AS (
+  SELECT source, h FROM run
+  WHERE upto <= l OR (upto - words <= l AND words - (l - (upto - words)) < l - (upto - words)))
+SELECT d.doc_id, d.size, g.s AS source_size, g.target,
+       CAST(d.size * least(coalesce(b.times, 0) + CASE WHEN o.h IS NULL THEN 0 ELSE 1 END, 3) AS BIGINT) AS taken
+FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+LEFT JOIN budget b ON d.source IS NOT DISTINCT FROM b.source
+LEFT JOIN once o ON d.source IS NOT DISTINCT FROM o.source AND d.h = o.h"""
+
+
+def _secrets_sql() -> str:
+    parts = []
+    rules = [*secrets.BASE, *secrets.MORE]
+    for n, r in enumerate(rules):
+        regex = "'" + (("(?i)" if r.any_case else "") + r.regex).replace("'", "''") + "'"
+        parts.append(f"""
+  SELECT rid, {n} AS n, '{r.kind}' AS kind, e - length(m) AS s, e, length(k) AS k FROM (
+    SELECT rid, m, k, sum(length(p) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS e FROM (
+      SELECT rid, unnest(ms) AS m, unnest(ks) AS k, unnest(ps[1:len(ms)]) AS p, unnest(range(len(ms))) AS i FROM (
+        SELECT rid, regexp_extract_all(x, {regex}, 0) AS ms, regexp_extract_all(x, {regex}, {r.group}) AS ks,
+               regexp_split_to_array(x, {regex}) AS ps
+        FROM t WHERE regexp_matches(x, {regex}))))
+  WHERE length(k) >= {r.least}""")
+    base = len(secrets.BASE)
+    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+g AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg({one}, ',' ORDER BY s, n) FILTER (n < {base}) AS base, string_agg({one}, ',' ORDER BY s, n) AS spans
+  FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (rid)"""
+
+
+def _lines_sql() -> str:
+    return r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+l AS (
+  SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+  FROM t),
+w AS (
+  SELECT rid, doc_id, at, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS whole
+  FROM l WINDOW o AS (PARTITION BY rid ORDER BY at)),
+n AS (
+  SELECT rid, at, row_number() OVER (PARTITION BY whole ORDER BY doc_id NULLS LAST, at) AS nth
+  FROM w WHERE regexp_matches(whole, '[^\x20\x09-\x0D]')),
+gone AS (SELECT DISTINCT rid, at + k AS at FROM n CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
+r AS (
+  SELECT l.rid, string_agg(line, chr(10) ORDER BY l.at) FILTER (g.at IS NULL) AS text,
+         count(*) AS n_lines, count(g.at) AS n_removed
+  FROM l LEFT JOIN gone g ON l.rid = g.rid AND l.at = g.at GROUP BY l.rid)
+SELECT doc_id, CASE WHEN t.text IS NOT NULL THEN coalesce(r.text, '') END AS text,
+       CASE WHEN t.text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_removed
+FROM t JOIN r USING (rid)"""
+
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first, payload_bytes >= 100 AS shared FROM p)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN shared AND first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN shared AND first IS DISTINCT FROM page_id AND first IS NOT NULL THEN first END AS refers_to
+FROM f"""
+
+
+#: The others hash with XXH64, fit a model, use a tokenizer or iterate; tests/llm holds them against brute force.
+SQL: dict[str, str] = {"op2_mixing": _mixing_sql(), "op3_line_dedup": _lines_sql(), "op5_secrets": _secrets_sql(), "op6_warc": _WARC_SQL}
