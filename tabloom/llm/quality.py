@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from tabloom.functions.hashing import hash_text
 from tabloom.llm.common import WORD, durable
 
 #: Hash buckets of the two multinomials.
-BUCKETS = 65_536
+BUCKETS = 32_768
 #: Words in a window of the repetition count.
 WINDOW = 8
 #: Labelled trusted documents that shape the target, at most.
@@ -20,6 +21,8 @@ TRUSTED = 20_000
 PRIOR_GRAMS = 40
 #: Pseudo-counts spread like the raw corpus over the target's buckets.
 SMOOTHING = 50_000.0
+#: Log ratios are kept as whole numbers of this fraction, so sums do not depend on their order.
+UNIT = 1_000
 #: A document is kept down to so many spreads below the trusted median.
 SPREADS = 6.0
 _SYMBOLS = "#*$%&|<>"
@@ -93,28 +96,29 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return good.orderBy(hash_text("doc_id", 3), "doc_id").limit(most)
 
 
-def log_ratios(target: DataFrame, raw: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with ``weights``: per bucket the log of target over raw probability, smoothed by the raw one."""
+def log_ratios(target: DataFrame, raw: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """Per bucket the log of target over raw probability, smoothed by the raw one; ``buckets`` numbers."""
     every = raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    both = (
-        every.join(raw.withColumnRenamed("n", "r"), "bucket", "left")
-        .join(target.withColumnRenamed("n", "t"), "bucket", "left")
-        .select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
+    both = every.join(raw.withColumnRenamed("n", "r"), "bucket", "left").join(
+        target.withColumnRenamed("n", "t"), "bucket", "left"
     )
-    sums = durable(both)
-    r, t = sums.agg(F.sum("r"), F.sum("t")).first()
-    share = (F.col("r") + 0.5) / F.lit(r + 0.5 * buckets)
-    ratio = F.log((F.col("t") + F.lit(SMOOTHING) * share) / F.lit(t + SMOOTHING) / share)
-    pairs = F.sort_array(F.collect_list(F.struct("bucket", ratio.alias("w"))))
-    return sums.agg(F.transform(pairs, lambda p: p["w"]).alias("weights"))
+    rows = both.select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t")).collect()
+    r, t = sum(x["r"] for x in rows), sum(x["t"] for x in rows)
+    out = [0] * buckets
+    for x in rows:
+        share = (x["r"] + 0.5) / (r + 0.5 * buckets)
+        out[x["bucket"]] = round(UNIT * math.log((x["t"] + SMOOTHING * share) / (t + SMOOTHING) / share))
+    return out
 
 
-def ratio_score(hashes: Column, weights: Column) -> Column:
+def ratio_score(hashes: Column, weights: list[int]) -> Column:
     """Mean log ratio of a text's n-grams, together with the neutral prior ones."""
+    # one string, folded to an array when the query is planned
+    known = F.split(F.lit(" ".join(map(str, weights))), " ").cast("array<int>")
 
     def mean(g: Column) -> Column:
-        total = F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(weights, b))
-        return total / (F.size(g) + PRIOR_GRAMS)
+        total = F.aggregate(g, F.lit(0).cast("bigint"), lambda a, b: a + F.get(known, b))
+        return total / (UNIT * (F.size(g) + PRIOR_GRAMS))
 
     return _let(grams(hashes), mean)
 
@@ -131,11 +135,10 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = durable(trusted_ids(labels))
     trusted = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     trusted = durable(trusted)
-    # a stored one-row table of a fixed number of weights, read back as a value of the query
-    weights = durable(log_ratios(bucket_counts(trusted), bucket_counts(docs.select("text"))))
+    weights = log_ratios(bucket_counts(trusted), bucket_counts(docs.select("text")))
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
     hashed = trusted.select(F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
-    scores = hashed.filter(F.size("__h") >= 20).select(ratio_score(F.col("__h"), weights.scalar()).alias("s"))
+    scores = hashed.filter(F.size("__h") >= 20).select(ratio_score(F.col("__h"), weights).alias("s"))
     middle, low = scores.agg(F.percentile("s", 0.5), F.percentile("s", 0.01)).first()
     floor = None if middle is None else middle - SPREADS * (middle - low) / 2.33
     counted = base_counts(docs)
@@ -143,7 +146,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     verdict = F.lit(True) if floor is None else F.col("score") >= F.lit(floor)
     return (
         counted.withColumn("base_failed", failed)
-        .withColumn("score", ratio_score(F.col("__h"), weights.scalar()))
+        .withColumn("score", ratio_score(F.col("__h"), weights))
         .withColumn("kept", ~F.col("base_failed") & verdict)
         .drop("__h")
     )

@@ -192,19 +192,19 @@ def _lines_sql() -> str:
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 l AS (
   SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM t),
 w AS (
-  SELECT rid, doc_id, at, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS whole
-  FROM l WINDOW o AS (PARTITION BY rid ORDER BY at)),
+  SELECT rid, doc_id, pos, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS whole
+  FROM l WINDOW o AS (PARTITION BY rid ORDER BY pos)),
 n AS (
-  SELECT rid, at, row_number() OVER (PARTITION BY whole ORDER BY doc_id NULLS LAST, at) AS nth
+  SELECT rid, pos, row_number() OVER (PARTITION BY whole ORDER BY doc_id NULLS LAST, pos) AS nth
   FROM w WHERE regexp_matches(whole, '[^\x20\x09-\x0D]')),
-gone AS (SELECT DISTINCT rid, at + k AS at FROM n CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
+gone AS (SELECT DISTINCT rid, pos + k AS pos FROM n CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
 r AS (
-  SELECT l.rid, string_agg(line, chr(10) ORDER BY l.at) FILTER (g.at IS NULL) AS text,
-         count(*) AS n_lines, count(g.at) AS n_removed
-  FROM l LEFT JOIN gone g ON l.rid = g.rid AND l.at = g.at GROUP BY l.rid)
+  SELECT l.rid, string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text,
+         count(*) AS n_lines, count(g.pos) AS n_removed
+  FROM l LEFT JOIN gone g ON l.rid = g.rid AND l.pos = g.pos GROUP BY l.rid)
 SELECT doc_id, CASE WHEN t.text IS NOT NULL THEN coalesce(r.text, '') END AS text,
        CASE WHEN t.text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_removed
 FROM t JOIN r USING (rid)"""

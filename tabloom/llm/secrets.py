@@ -196,17 +196,18 @@ def scan(docs: DataFrame, base: Sequence[Rule] = BASE, more: Sequence[Rule] = MO
     for n, rule in enumerate(rules):
         runs = F.lit(True) if trigram_query(rule) is None else F.array_contains("kinds", rule.kind)
         regex = F.lit(("(?i)" if rule.any_case else "") + rule.regex)
-        named = F.transform(
-            spans(F.col("__text"), rule),
-            lambda s, n=n, rule=rule: F.struct(
-                s["start"].alias("start"), F.lit(n).alias("order"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")
-            ),
-        )
+        named = F.transform(spans(F.col("__text"), rule), _named(n, rule.kind))
         none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
         found.append(F.when(F.coalesce(runs, F.lit(False)) & F.rlike("__text", regex), named).otherwise(none))
     return joined.withColumn("matches", F.sort_array(F.concat(*found))).select("__d.*", "matches")
 
 
+def _named(order: int, kind: str):
+    return lambda s: F.struct(
+        s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")
+    )
+
+
 def listed(matches: Column) -> Column:
     """``kind:start:end`` of the matches, joined by commas."""
     one = lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))
