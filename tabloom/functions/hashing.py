@@ -36,7 +36,23 @@ def hash_cell(text: Column, digits: int) -> Column:
 
 
 def md5_bucket(value: Column, buckets: int) -> Column:
-    """md5 of the text modulo a power of two up to 256."""
-    if buckets < 1 or buckets > 256 or buckets & (buckets - 1):
-        raise ValueError("buckets must be a power of two up to 256")
-    return (F.conv(F.substring(F.md5(value), 31, 2), 16, 10).cast("int") % buckets).cast("int")
+    """md5 of the text, read as one number, modulo any count of buckets below 2^31."""
+    if not 0 < buckets < 1 << 31:
+        raise ValueError("buckets must be between 1 and 2^31 - 1")
+    digest, rest = F.md5(value), F.lit(0).cast("bigint")
+    # the remainder is folded through the 32 digits, 28 bits at a time
+    for first, digits in ((1, 4), (5, 7), (12, 7), (19, 7), (26, 7)):
+        part = F.conv(F.substring(digest, first, digits), 16, 10).cast("bigint")
+        rest = (rest * (1 << 4 * digits) + part) % buckets
+    return rest.cast("int")
+
+
+def md5_bucket_sql(value: str, buckets: int) -> str:
+    """``md5_bucket`` as an expression that fitted stages can keep."""
+    if not 0 < buckets < 1 << 31:
+        raise ValueError("buckets must be between 1 and 2^31 - 1")
+    rest = "0L"
+    for first, digits in ((1, 4), (5, 7), (12, 7), (19, 7), (26, 7)):
+        part = f"CAST(conv(substring(md5({value}), {first}, {digits}), 16, 10) AS BIGINT)"
+        rest = f"(({rest} * {1 << 4 * digits}L + {part}) % {buckets}L)"
+    return rest

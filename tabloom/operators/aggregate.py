@@ -53,7 +53,17 @@ def wide_stats(
     return reduce(DataFrame.unionByName, parts)
 
 
+def one_zero(c: Column, kind: T.DataType) -> Column:
+    """The column with -0.0 as 0.0, so that both are one value."""
+    if isinstance(kind, T.DoubleType):
+        return c + F.lit(0.0)
+    if isinstance(kind, T.FloatType):
+        return c + F.lit(0.0).cast("float")
+    return c
+
+
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), as_type: str = "string") -> DataFrame:
-    """Rows of (keep..., column, value); missing values are kept."""
-    cast = df.select(*keep, *[F.col(c).cast(as_type).alias(c) for c in columns])
+    """Rows of (keep..., column, value); missing values are kept, -0.0 is 0.0."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    cast = df.select(*keep, *[one_zero(F.col(c), kinds[c]).cast(as_type).alias(c) for c in columns])
     return cast.unpivot(list(keep), list(columns), "column", "value")

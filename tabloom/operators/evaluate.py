@@ -26,15 +26,13 @@ def _pair_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """(label, prediction, count) over all pairs of classes seen, empty cells included."""
     counts = _pair_counts(df, label, prediction)
-    # one row per class with all class names: the empty cells are classes x classes rows
-    whole = counts.agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("label", "prediction"))))).alias("names"),
-        F.map_from_entries(F.collect_list(F.struct(F.struct("label", "prediction"), F.col("count")))).alias("seen"),
-    )
-    rows = whole.select(F.explode("names").alias("label"), "names", "seen")
-    cells = rows.select("label", F.explode("names").alias("prediction"), "seen")
-    found = F.try_element_at("seen", F.struct("label", "prediction"))
-    return cells.select("label", "prediction", F.coalesce(found, F.lit(0)).cast("bigint").alias("count"))
+    names = counts.select(F.explode(F.array("label", "prediction")).alias("name")).distinct()
+    # the columns of the matrix, one list of class names; the cells themselves are rows
+    across = names.agg(F.collect_list("name").alias("names")).withColumn("__all", F.lit(0))
+    cells = names.select(F.col("name").alias("label"), F.lit(0).alias("__all")).join(F.broadcast(across), "__all")
+    cells = cells.select("label", F.explode("names").alias("prediction"))
+    found = cells.join(counts, ["label", "prediction"], "left")
+    return found.select("label", "prediction", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
 def _ratio(a, b):
@@ -174,13 +172,21 @@ def threshold_counts(scored: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> D
 
 
 def roc_points(counts: DataFrame) -> DataFrame:
-    """(class, threshold, x, y): false against true positive rate, without the origin."""
-    return counts.select(
+    """(class, threshold, x, y): false against true positive rate; the origin has an infinite threshold."""
+    points = counts.select(
         "class",
         F.col("score").alias("threshold"),
         F.try_divide(F.col("fp"), F.col("negatives")).alias("x"),
         F.try_divide(F.col("tp"), F.col("positives")).alias("y"),
     )
+    return points.unionByName(_end(counts, F.lit(float("inf")), 0.0, 0.0))
+
+
+def _end(counts: DataFrame, threshold, x: float, y: float) -> DataFrame:
+    """The end point of each class's curve."""
+    return counts.select("class").distinct().select(
+        "class", threshold.alias("threshold"), F.lit(x).alias("x"), F.lit(y).alias("y")
+    )
 
 
 def roc_areas(counts: DataFrame) -> DataFrame:
@@ -192,18 +198,24 @@ def roc_areas(counts: DataFrame) -> DataFrame:
 
 
 def roc_macro(counts: DataFrame) -> DataFrame:
-    """One row: the mean area over classes."""
-    return roc_areas(counts).agg(F.avg("auc").alias("roc_auc_ovr"))
+    """One row: the mean area over the classes that have one, and how many have none.
+
+    A class without positives or without negatives has no area.
+    """
+    return roc_areas(counts).agg(
+        F.avg("auc").alias("roc_auc_ovr"), F.count_if(F.col("auc").isNull()).alias("classes_without_area")
+    )
 
 
 def pr_points(counts: DataFrame) -> DataFrame:
-    """(class, threshold, x, y): recall against precision, without the end point (0, 1)."""
-    return counts.select(
+    """(class, threshold, x, y): recall against precision; the end point (0, 1) has no threshold."""
+    points = counts.select(
         "class",
         F.col("score").alias("threshold"),
         F.try_divide(F.col("tp"), F.col("positives")).alias("x"),
         F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("y"),
     )
+    return points.unionByName(_end(counts, F.lit(None).cast("double"), 0.0, 1.0))
 
 
 def pr_areas(counts: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions.hashing import md5_bucket_sql
 from tabloom.operators.aggregate import long_form, wide_stats
 from tabloom.operators.learned import ColumnExpressions, LookupModel, sql_literal, sql_name
 from tabloom.operators.quantiles import exact_quantiles
@@ -36,30 +37,20 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("k"))
 
 
-def most_frequent_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value): commonest number per column, ties to the smallest."""
-    return (
-        long_form(df, columns, as_type="double")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("k"))
-        .groupBy("column")
-        .agg(F.min(F.struct(-F.col("k"), F.col("value"))).alias("m"))
-        .select("column", F.col("m.value").alias("value"))
-    )
-
-
 def most_frequent(values: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """(column, value): commonest value per column, ties to the smallest.
+    """(column, value): commonest value per column as text, ties to the smallest.
 
     A minimum over (count, value) keeps this a combining aggregate; no column's
-    values are sorted in one task.
+    values are sorted in one task. Whole numbers beyond the range in which
+    doubles are exact are told apart as decimals.
     """
-    number = F.when(F.col("column").isin(list(numeric)), F.col("value").try_cast("double"))
+    of_number = F.col("column").isin(list(numeric))
+    number = F.when(of_number, F.col("value").try_cast("double"))
+    whole = F.when(of_number, F.col("value").try_cast("decimal(38,0)"))
     return (
         values.filter(F.col("value").isNotNull())
         .groupBy("column")
-        .agg(F.min(F.struct(-F.col("k"), number, F.col("value"))).alias("m"))
+        .agg(F.min(F.struct(-F.col("k"), number, whole, F.col("value"))).alias("m"))
         .select("column", F.col("m.value").alias("value"))
     )
 
@@ -96,27 +87,90 @@ def _numeric_names(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if isinstance(kinds[c], (T.NumericType, T.BooleanType))]
 
 
-def _fills(df: DataFrame, columns: Sequence[str], strategy: str, constant, values: DataFrame | None = None) -> dict:
-    """column -> value the gaps get; text stays text, numbers become numbers."""
+@dataclass(frozen=True)
+class Fill:
+    """What the gaps of a column get: SQL in the type it is filled in, and its number if it has one."""
+
+    sql: str
+    number: float | None = None
+
+
+def _as_kind(text: str, kind: T.DataType) -> str:
+    return f"CAST({sql_literal(text)} AS {kind.simpleString()})"
+
+
+def _constant(value, kind: T.DataType) -> Fill:
+    """A constant in the column's own type where that holds it, else as it is."""
+    if isinstance(value, str):
+        return Fill(_as_kind(value, kind) if isinstance(kind, T.StringType) else sql_literal(value))
+    number = float(value)
+    if isinstance(kind, T.BooleanType) and number in (0.0, 1.0):
+        return Fill(sql_literal(bool(number)), number)
+    if isinstance(kind, T.IntegralType) and number.is_integer():
+        return Fill(_as_kind(str(int(number)), kind), number)
+    return Fill(sql_literal(number if isinstance(kind, T.NumericType) else value), number)
+
+
+def _fills(
+    df: DataFrame, columns: Sequence[str], strategy: str, constant, values: DataFrame | None = None
+) -> dict[str, Fill]:
+    """column -> what its gaps get; a commonest value keeps the type of its column."""
     numeric = set(_numeric_names(df, columns))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     if strategy == "constant":
-        if constant is not None:
-            return {c: constant for c in columns}
-        return {c: 0.0 if c in numeric else "missing_value" for c in columns}
+        default = {c: 0.0 if c in numeric else "missing_value" for c in columns}
+        return {c: _constant(default[c] if constant is None else constant, kinds[c]) for c in columns}
     if strategy == "mean":
-        return {c: m[2] for c, m in moments(df, columns).items()}
-    if strategy == "median":
-        rows = exact_quantiles(df, columns, [0.5]).collect()
-        return {r["column"]: r["value"] for r in rows}
-    if strategy == "most_frequent":
-        if values is not None:
-            rows = most_frequent(values.filter(F.col("column").isin(list(columns))), sorted(numeric)).collect()
-            return {r["column"]: float(r["value"]) if r["column"] in numeric else r["value"] for r in rows}
-        text = [c for c in columns if c not in numeric]
-        found = most_frequent_numbers(df, sorted(numeric)).collect() if numeric else []
-        found += most_frequent(value_table(df, text), []).collect() if text else []
-        return {r["column"]: r["value"] for r in found}
-    raise ValueError(f"unknown strategy {strategy!r}")
+        found = {c: m[2] for c, m in moments(df, columns).items()}
+    elif strategy == "median":
+        found = {r["column"]: r["value"] for r in exact_quantiles(df, columns, [0.5]).collect()}
+    elif strategy == "most_frequent":
+        counted = value_table(df, columns) if values is None else values.filter(F.col("column").isin(list(columns)))
+        rows = most_frequent(counted, sorted(numeric)).collect()
+        return {r["column"]: Fill(_as_kind(r["value"], kinds[r["column"]]), _number(r["value"])) for r in rows}
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return {c: Fill(sql_literal(float(v)), float(v)) for c, v in found.items() if v is not None}
+
+
+def _number(text: str) -> float | None:
+    if text in ("true", "false"):
+        return float(text == "true")
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def _filled(df: DataFrame, c: str, fill: Fill | None) -> str:
+    """SQL of a column with its gaps filled; a boolean that gets a number becomes one."""
+    if fill is None:
+        return sql_name(c)
+    number = isinstance(df.schema[c].dataType, T.BooleanType) and fill.sql not in ("true", "false") and not fill.sql.startswith("CAST")
+    own = f"CAST({sql_name(c)} AS DOUBLE)" if number and fill.number is not None else sql_name(c)
+    return f"coalesce({own}, {fill.sql})"
+
+
+def _spelled(df: DataFrame, c: str, fill: Fill | None = None) -> str:
+    """SQL of a column as text, spelled as ``value_table`` spells it, gaps filled."""
+    kind = df.schema[c].dataType
+    own = sql_name(c)
+    if isinstance(kind, T.DoubleType):
+        own = f"({own} + 0D)"
+    elif isinstance(kind, T.FloatType):
+        own = f"({own} + CAST(0 AS FLOAT))"
+    text = f"CAST({own} AS STRING)"
+    return text if fill is None else f"coalesce({text}, CAST({fill.sql} AS STRING))"
+
+
+def _filled_values(values: DataFrame, fills: Mapping[str, Fill]) -> DataFrame:
+    """Counted values once the gaps are filled."""
+    fills = {c: f for c, f in fills.items() if f is not None}
+    if not fills:
+        return values
+    spelled = F.create_map(*[x for c, f in fills.items() for x in (F.lit(c), F.expr(f"CAST({f.sql} AS STRING)"))])
+    filled = values.withColumn("value", F.coalesce("value", spelled[F.col("column")]))
+    return filled.groupBy("column", "value").agg(F.sum("k").alias("k"))
 
 
 # ---------------------------------------------------------------- estimators
@@ -151,7 +205,7 @@ class Imputing(_Columns):
         )
         return ColumnExpressions(
             outputs=[o for _, o in pairs],
-            expressions=[f"coalesce({sql_name(i)}, {sql_literal(fills.get(i))})" for i, _ in pairs],
+            expressions=[_filled(dataset, i, fills.get(i)) for i, _ in pairs],
         )
 
 
@@ -252,7 +306,7 @@ def _present(c: str) -> str:
 class HashEncoding(_Columns):
     """Values of several columns counted into shared md5 buckets; the output is one vector."""
 
-    buckets = Param(Params._dummy(), "buckets", "number of counters, a power of two up to 256", TypeConverters.toInt)
+    buckets = Param(Params._dummy(), "buckets", "number of counters", TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None, buckets=32):
@@ -271,11 +325,8 @@ def hash_stages(columns: Sequence[str], output: str, buckets: int) -> list:
     One expression per counter would outgrow what the JVM compiles; the counting
     stage works in time proportional to the number of columns.
     """
-    if buckets < 1 or buckets > 256 or buckets & (buckets - 1):
-        raise ValueError("buckets must be a power of two up to 256")
     words = ", ".join(
-        f"CAST(CAST(conv(right(md5(coalesce(CAST({sql_name(c)} AS STRING), 'nan')), 2), 16, 10) AS INT) % {buckets} AS STRING)"
-        for c in columns
+        f"CAST({md5_bucket_sql(f"coalesce(CAST({sql_name(c)} AS STRING), 'nan')", buckets)} AS STRING)" for c in columns
     )
     return [
         ColumnExpressions(outputs=[f"{output}__b"], expressions=[f"array({words})"]),
@@ -317,11 +368,12 @@ class OrdinalEncoding(_Columns):
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         pairs = self._pairs()
         labels = collect_labels(value_table(dataset, [i for i, _ in pairs]), _sort_types(dataset))
-        return PipelineModel(ordinal_stages(pairs, labels))
+        return PipelineModel(ordinal_stages(pairs, labels, {i: _spelled(dataset, i) for i, _ in pairs}))
 
 
 def _sort_types(df: DataFrame) -> list[str]:
-    return _numeric_names(df, df.columns)
+    """Columns whose labels sort as numbers; booleans sort as their text does."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
 def collect_labels(values: DataFrame, numeric: Sequence[str]) -> dict[str, list[str]]:
@@ -338,7 +390,15 @@ def collect_labels(values: DataFrame, numeric: Sequence[str]) -> dict[str, list[
     for r in known.select("column", "value").collect():
         labels.setdefault(r["column"], []).append(r["value"])
     order = set(numeric)
-    return {c: sorted(v, key=float if c in order else str) for c, v in labels.items()}
+    return {c: sorted(v, key=_by_number if c in order else str) for c, v in labels.items()}
+
+
+def _by_number(text: str) -> tuple:
+    """Numbers by size, whole ones exactly; a text that fills gaps comes last."""
+    try:
+        return (0, int(text) if text.lstrip("-").isdigit() else float(text), "")
+    except ValueError:
+        return (1, 0, text)
 
 
 def _indexers(labels, inputs: Sequence[str], outputs: Sequence[str]) -> list[StringIndexerModel]:
@@ -349,11 +409,12 @@ def _indexers(labels, inputs: Sequence[str], outputs: Sequence[str]) -> list[Str
     ]
 
 
-def ordinal_stages(pairs, labels: Mapping[str, list[str]]) -> list:
+def ordinal_stages(pairs, labels: Mapping[str, list[str]], spelled: Mapping[str, str]) -> list:
+    """Stages turning columns into codes; ``spelled`` has the SQL of each column's text."""
     indexed = [f"{o}__ix" for _, o in pairs]
     text = [f"{o}__tx" for _, o in pairs]
     return [
-        ColumnExpressions(outputs=text, expressions=[f"CAST({sql_name(i)} AS STRING)" for i, _ in pairs]),
+        ColumnExpressions(outputs=text, expressions=[spelled[i] for i, _ in pairs]),
         *_indexers([labels.get(i) for i, _ in pairs], text, indexed),
         ColumnExpressions(
             outputs=[o for _, o in pairs],
@@ -368,11 +429,7 @@ def ordinal_stages(pairs, labels: Mapping[str, list[str]]) -> list:
 def one_hot_stages(values, pairs, fills: Mapping, max_categories: int, drop_binary: bool, df: DataFrame) -> list:
     """Stages turning columns into one-hot vectors, from counted values."""
     names = [i for i, _ in pairs]
-    own = values.filter(F.col("column").isin(names))
-    if fills:
-        filled = F.create_map(*[x for c, v in fills.items() for x in (F.lit(c), F.lit(None if v is None else _text(v)))])
-        own = own.withColumn("value", F.coalesce("value", filled[F.col("column")]))
-        own = own.groupBy("column", "value").agg(F.sum("k").alias("k"))
+    own = _filled_values(values.filter(F.col("column").isin(names)), fills)
     own = own.filter(F.col("value").isNotNull())
     wide: set[str] = set()
     if max_categories:
@@ -381,12 +438,7 @@ def one_hot_stages(values, pairs, fills: Mapping, max_categories: int, drop_bina
 
     stages: list = []
     text = {i: f"{o}__tx" for i, o in pairs}
-    as_text = [
-        f"coalesce(CAST({sql_name(i)} AS STRING), {sql_literal(_text(fills[i]))})"
-        if fills.get(i) is not None
-        else f"CAST({sql_name(i)} AS STRING)"
-        for i, _ in pairs
-    ]
+    as_text = [_spelled(df, i, fills.get(i)) for i, _ in pairs]
     stages.append(ColumnExpressions(outputs=list(text.values()), expressions=as_text))
     if wide:
         # the kept values per column are few; the rest share one slot
@@ -430,12 +482,6 @@ def one_hot_stages(values, pairs, fills: Mapping, max_categories: int, drop_bina
     return stages
 
 
-def _text(value) -> str:
-    if isinstance(value, float) and value.is_integer():
-        return str(int(value))
-    return str(value)
-
-
 # ---------------------------------------------------------------- column transformer
 
 
@@ -505,11 +551,9 @@ class Preparer:
                 stages += one_hot_stages(values, pairs, gap, b.max_categories, b.drop_binary, df)
                 assembled += [o for _, o in pairs]
             elif b.encode == "ordinal":
-                own = values.filter(F.col("column").isin(list(b.columns)))
-                filled = {c: f"{PREFIX}{c}__in" for c in b.columns}
-                simple.update({filled[c]: _filled(c, gap.get(c)) for c in b.columns})
+                own = _filled_values(values.filter(F.col("column").isin(list(b.columns))), gap)
                 labels = collect_labels(own, _sort_types(df))
-                stages += ordinal_stages([(filled[c], o) for c, o in pairs], {filled[c]: v for c, v in labels.items()})
+                stages += ordinal_stages(pairs, labels, {c: _spelled(df, c, gap.get(c)) for c in b.columns})
                 assembled += [o for _, o in pairs]
             else:
                 simple.update(self._measures(df, b, pairs, gap, stats))
@@ -542,18 +586,15 @@ class Preparer:
         if b.scale == "standard":
             out = {}
             for c, o in pairs:
-                centre, var = _filled_moments(stats[c], gap.get(c))
-                out[o] = scaled(_filled(c, gap.get(c)), centre, var**0.5)
+                fill = gap.get(c)
+                centre, var = _filled_moments(stats[c], fill.number if fill else None)
+                out[o] = scaled(_filled(df, c, fill), centre, var**0.5)
             return out
         if b.scale == "robust":
-            filled = df.select(*[F.expr(_filled(c, gap.get(c))).alias(c) for c, _ in pairs])
+            filled = df.select(*[F.expr(_filled(df, c, gap.get(c))).alias(c) for c, _ in pairs])
             learned = robust_spread(filled, [c for c, _ in pairs])
-            return {o: scaled(_filled(c, gap.get(c)), *learned.get(c, (0.0, 1.0))) for c, o in pairs}
-        return {o: f"CAST({_filled(c, gap.get(c))} AS DOUBLE)" for c, o in pairs}
-
-
-def _filled(c: str, fill) -> str:
-    return sql_name(c) if fill is None else f"coalesce({sql_name(c)}, {sql_literal(fill)})"
+            return {o: scaled(_filled(df, c, gap.get(c)), *learned.get(c, (0.0, 1.0))) for c, o in pairs}
+        return {o: f"CAST({_filled(df, c, gap.get(c))} AS DOUBLE)" for c, o in pairs}
 
 
 def feature_names(df: DataFrame, column: str = "features") -> list[str]:

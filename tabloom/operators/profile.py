@@ -25,9 +25,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Value counts with each value's share of the non-missing rows."""
-    counts = value_counts(df, column)
-    total = df.agg(F.count(column)).scalar()
-    return counts.withColumn("share", F.try_divide(F.col("count"), total))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
+    # the total comes from the grouped counts, so the rows are read once
+    total = counts.groupBy(F.lit(0).alias("__all")).agg(F.sum("count").alias("__total"))
+    joined = counts.withColumn("__all", F.lit(0)).join(F.broadcast(total), "__all")  # one row
+    return joined.select("value", "count", F.try_divide("count", "__total").alias("share")).orderBy(F.desc("count"), "value")
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -90,14 +92,11 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def type_groups(df: DataFrame) -> DataFrame:
     """(type, n_columns, columns): the columns of each type, names sorted."""
-    return (
-        column_profile(df)
-        .groupBy("type")
-        .agg(
-            F.count("*").alias("n_columns"),
-            F.concat_ws(",", F.array_sort(F.collect_list("column"))).alias("columns"),
-        )
-    )
+    found: dict[str, list[str]] = {}
+    for name, kind in df.dtypes:
+        found.setdefault(kind, []).append(name)
+    rows = [(kind, len(names), ",".join(sorted(names))) for kind, names in found.items()]
+    return df.sparkSession.createDataFrame(rows, "type string, n_columns bigint, columns string")
 
 
 def low_cardinality_values(df: DataFrame, columns: Sequence[str], least: int = 2, most: int = 100) -> DataFrame:
@@ -137,10 +136,11 @@ def crosstab_wide(df: DataFrame, feature: str, label: str, classes: Sequence[str
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
-    """(column, bin, lo, hi, count) over equal-width bins; the last bin is closed.
+    """(column, bin, lo, hi, count) over equal-width bins, empty ones included; the last bin is closed.
 
-    The bounds are one small aggregate; the counting pass combines per task, so
-    what moves is bins x columns rows per task.
+    A column of one value gets bins over half a unit to either side of it; a
+    column without values has none. The bounds are one small aggregate; the
+    counting pass combines per task, so what moves is bins x columns rows per task.
     """
     columns = list(columns or numeric_columns(df))
     bounds = wide_stats(
@@ -151,26 +151,27 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
             "most": lambda c: F.max(F.col(c).cast("double")),
         },
     )
+    margin = F.when(F.col("most") == F.col("least"), F.lit(0.5)).otherwise(F.lit(0.0))
+    bounds = bounds.filter("least is not null").select(
+        "column", (F.col("least") - margin).alias("least"), (F.col("most") + margin).alias("most")
+    )
     # one row per column name of the table
     placed = long_form(df, columns, as_type="double").join(F.broadcast(bounds), "column")
-    width = F.col("most") - F.col("least")
-    at = F.when(
-        width > 0,
-        F.least(F.floor((F.col("value") - F.col("least")) / width * bins), F.lit(bins - 1)),
-    ).otherwise(F.lit(0))
+    at = F.floor((F.col("value") - F.col("least")) / (F.col("most") - F.col("least")) * bins)
     counted = (
         placed.filter(F.col("value").isNotNull())
-        .withColumn("bin", at.cast("int"))
-        .groupBy("column", "bin", "least", "most")
+        .withColumn("bin", F.least(at, F.lit(bins - 1)).cast("int"))
+        .groupBy("column", "bin")
         .agg(F.count("*").alias("count"))
     )
+    every = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     step = (F.col("most") - F.col("least")) / bins
-    return counted.select(
+    return every.join(counted, ["column", "bin"], "left").select(
         "column",
         "bin",
         (F.col("least") + step * F.col("bin")).alias("lo"),
-        F.when(step > 0, F.col("least") + step * (F.col("bin") + 1)).otherwise(F.col("most")).alias("hi"),
-        "count",
+        (F.col("least") + step * (F.col("bin") + 1)).alias("hi"),
+        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
     )
 
 

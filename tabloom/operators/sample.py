@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import hash_cell, hash_long, hash_text
-from tabloom.operators.lookup import MAX_BROADCAST_ROWS, is_small
+from tabloom.operators.lookup import is_small
 from tabloom.operators.ranks import hash_cutpoints
 
 _ALL = "__all"
@@ -169,24 +169,25 @@ def drawn_rows(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame
     ten rows raised to a billion moves ten counts, not a billion keys.
     """
     known = df.filter(F.col(label).isNotNull())
-    counts = known.groupBy(label).agg(F.count("*").alias("__n")).persist()
-    if counts.count() > MAX_BROADCAST_ROWS:
-        raise ValueError("too many classes to balance")
+    counts = known.groupBy(label).agg(F.count("*").alias("__n"))
     most = counts.agg(F.max("__n")).first()[0] or 0
     need = counts.select(label, "__n", (F.lit(most) - F.col("__n")).alias("__need")).filter(F.col("__need") > 0)
+    small = is_small(need, [label])
 
-    # draw d of a class takes the row whose rank is a hash of (class, d)
-    top = need.agg(F.max("__need")).first()[0] or 0
-    numbered = df.sparkSession.range(top).withColumnRenamed("id", "__d")
-    # the class count was checked above; a draw is made only for classes still short
-    draws = numbered.join(F.broadcast(need), F.col("__d") < F.col("__need"))
+    # draw d of a class takes the row whose rank is a hash of (class, d); chunks of draws are dealt out
+    last = F.floor((F.col("__need") - 1) / _REPEAT_CHUNK)
+    chunks = need.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition(label, "__chunk")
+    first = F.col("__chunk") * _REPEAT_CHUNK
+    upto = F.least(first + _REPEAT_CHUNK, F.col("__need")) - 1
+    draws = chunks.withColumn("__d", F.explode(F.sequence(first, upto)))
     text = F.concat(F.col(label).cast("string"), F.lit(":"), F.col("__d").cast("string"))
     drawn = (
         draws.withColumn("__rank", hash_long(hash_text(text, seed)) % F.col("__n"))
         .groupBy(label, "__rank")
         .agg(F.count("*").alias("__times"))
     )
-    short = known.join(F.broadcast(need.select(label)), label, "left_semi")
+    classes = need.select(label)
+    short = known.join(F.broadcast(classes) if small else classes, label, "left_semi")
     ranked = hash_ranked(short, key, label, seed, "__rank")
     return ranked.join(drawn, [label, "__rank"]).select(*df.columns, "__times")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import roles
 from tabloom.operators.lookup import lookup
-from tabloom.operators.profile import column_profile, value_counts
+from tabloom.operators.profile import value_counts
 from tabloom.plans.checked import checked
 from tabloom.plans.checked.inputs import (
     LINEITEM_WITH_GAPS,
@@ -133,9 +133,9 @@ def feature_lists(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
     original = roles.without(orders.columns, "o_orderpriority")
     cleaned = roles.without(orders.columns, "o_orderpriority", ["o_totalprice", "o_orderdate"])
-    profile = column_profile(orders, original)
-    kept = F.col("column").isin(cleaned).cast("int")
-    return profile.select(F.col("column").alias("feature"), kept.alias("cleaned"), F.col("rows").alias("rows_seen"))
+    marked = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(int(c in cleaned)).alias("cleaned")) for c in original])
+    rows = orders.agg(F.count("*").alias("rows_seen"))
+    return rows.select(F.inline(marked), "rows_seen")
 
 
 @checked("""

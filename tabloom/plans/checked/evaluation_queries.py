@@ -114,7 +114,10 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@checked(f"WITH {_THRESHOLDS} SELECT class, score AS threshold, round(fp / n, 9) AS x, round(tp / p, 9) AS y FROM c")
+@checked(
+    f"WITH {_THRESHOLDS} SELECT class, score AS threshold, round(fp / n, 9) AS x, round(tp / p, 9) AS y FROM c "
+    "UNION ALL SELECT DISTINCT class, CAST('inf' AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM c"
+)
 def roc_points(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.roc_points(_counts(spark, d)).withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})
 
@@ -125,14 +128,17 @@ def roc_auc_ovr(spark: SparkSession, d: str) -> DataFrame:
 
 
 @checked(
-    f"WITH {_THRESHOLDS} SELECT round(avg(auc), 9) AS roc_auc_ovr FROM "
+    f"WITH {_THRESHOLDS} SELECT round(avg(auc), 9) AS roc_auc_ovr, count(*) - count(auc) AS classes_without_area FROM "
     "(SELECT class, sum((fp - fp0) / n * (tp + tp0) / p / 2) AS auc FROM l GROUP BY 1)"
 )
 def roc_auc_macro(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.roc_macro(_counts(spark, d)).withColumn("roc_auc_ovr", F.round("roc_auc_ovr", 9))
 
 
-@checked(f"WITH {_THRESHOLDS} SELECT class, score AS threshold, round(tp / p, 9) AS x, round(tp / (tp + fp), 9) AS y FROM c")
+@checked(
+    f"WITH {_THRESHOLDS} SELECT class, score AS threshold, round(tp / p, 9) AS x, round(tp / (tp + fp), 9) AS y FROM c "
+    "UNION ALL SELECT DISTINCT class, CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM c"
+)
 def pr_curve(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.pr_points(_counts(spark, d)).withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})
 

@@ -57,11 +57,11 @@ def _mode(c: str) -> str:
 @checked(f"""
 WITH g AS ({ORDERS_WITH_GAPS})
 SELECT o_orderkey, coalesce(o_orderstatus, {_mode("o_orderstatus")}) AS o_orderstatus,
-       CAST(coalesce(o_custkey, {_mode("o_custkey")}) AS DOUBLE) AS o_custkey FROM g""")
+       coalesce(o_custkey, {_mode("o_custkey")}) AS o_custkey FROM g""")
 def impute_mode(spark: SparkSession, d: str) -> DataFrame:
     g = orders_with_gaps(spark, d)
     out = Imputing(inputCols=["o_orderstatus", "o_custkey"], strategy="most_frequent").fit(g).transform(g)
-    return out.select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("double").alias("o_custkey"))
+    return out.select("o_orderkey", "o_orderstatus", "o_custkey")
 
 
 @checked(f"""
@@ -274,3 +274,107 @@ def vector_names(spark: SparkSession, d: str) -> DataFrame:
     label = F.array(*[F.lit(n) for n in names])
     means = slots.groupBy("slot").agg(F.avg("x").alias("mean"))
     return means.select("slot", label[F.col("slot")].alias("feature"), "mean")
+
+
+# ---------------------------------------------------------------- types and gaps
+
+
+_BEYOND_DOUBLE = 2**53 + 1
+
+
+@checked(f"""
+WITH g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN {_BEYOND_DOUBLE}
+           ELSE {_BEYOND_DOUBLE} + o_orderkey END AS big FROM orders)
+SELECT o_orderkey, CAST(coalesce(big, {_BEYOND_DOUBLE}) AS BIGINT) AS big FROM g""")
+def impute_mode_long(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest id beyond the range in which doubles are exact."""
+    key = F.col("o_orderkey")
+    big = F.when(key % 3 == 1, F.lit(_BEYOND_DOUBLE)).when(key % 3 == 2, key + _BEYOND_DOUBLE)
+    g = table(spark, d, "orders").select("o_orderkey", big.alias("big"))
+    return Imputing(inputCols=["big"], strategy="most_frequent").fit(g).transform(g)
+
+
+_TYPED = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_custkey % 5 AS BIGINT) END AS whole,
+       CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey % 3 AS DOUBLE) END AS number,
+       CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 3 = 0 END AS flag FROM orders"""
+
+
+def _typed_columns(spark: SparkSession, d: str) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        F.when(key % 4 != 0, (cust % 5).cast("bigint")).alias("whole"),
+        F.when(key % 5 != 0, (cust % 3).cast("double")).alias("number"),
+        F.when(key % 7 != 0, cust % 3 == 0).alias("flag"),
+    )
+
+
+@checked(f"""
+WITH g AS ({_TYPED}), f AS (
+  SELECT o_orderkey, coalesce(whole, {_mode("whole")}) AS whole, coalesce(number, {_mode("number")}) AS number,
+         coalesce(flag, {_mode("flag")}) AS flag FROM g),
+w AS (SELECT whole, row_number() OVER (ORDER BY whole) - 1 AS code FROM (SELECT DISTINCT whole FROM f)),
+n AS (SELECT number, row_number() OVER (ORDER BY number) - 1 AS code FROM (SELECT DISTINCT number FROM f)),
+b AS (SELECT flag, row_number() OVER (ORDER BY flag) - 1 AS code FROM (SELECT DISTINCT flag FROM f))
+SELECT o_orderkey, CAST(w.code AS DOUBLE) AS whole, CAST(n.code AS DOUBLE) AS number, CAST(b.code AS DOUBLE) AS flag
+FROM f JOIN w USING (whole) JOIN n USING (number) JOIN b USING (flag)""")
+def ordinal_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of whole numbers, doubles and booleans, gaps filled by the commonest value."""
+    g = _typed_columns(spark, d)
+    columns = ["whole", "number", "flag"]
+    out = Preparer([Block("o", columns, "most_frequent", encode="ordinal")]).fit(g).transform(g)
+    return _slots(out, "o_orderkey", "features", columns)
+
+
+@checked(f"""
+WITH g AS ({_TYPED}), f AS (SELECT o_orderkey, coalesce(CAST(whole AS VARCHAR), 'missing') AS whole FROM g)
+SELECT o_orderkey, CAST(CASE WHEN whole = 'missing' THEN 5 ELSE CAST(whole AS INTEGER) END AS DOUBLE) AS whole
+FROM (SELECT o_orderkey, whole FROM f) """)
+def ordinal_constant_fill(spark: SparkSession, d: str) -> DataFrame:
+    """A text that fills the gaps of a number column is a label of its own, the last."""
+    g = _typed_columns(spark, d)
+    out = Preparer([Block("o", ["whole"], "constant", fill="missing", encode="ordinal")]).fit(g).transform(g)
+    return _slots(out, "o_orderkey", "features", ["whole"])
+
+
+@checked(f"""
+WITH g AS ({_TYPED}), f AS (SELECT o_orderkey, coalesce(number, {_mode("number")}) AS number, coalesce(flag, {_mode("flag")}) AS flag FROM g)
+SELECT o_orderkey, CAST(number = 0 AS INTEGER)::DOUBLE AS n0, CAST(number = 1 AS INTEGER)::DOUBLE AS n1,
+       CAST(number = 2 AS INTEGER)::DOUBLE AS n2, CAST(NOT flag AS INTEGER)::DOUBLE AS no, CAST(flag AS INTEGER)::DOUBLE AS yes FROM f""")
+def one_hot_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of doubles and booleans; a filled gap falls in the slot of its value."""
+    g = _typed_columns(spark, d)
+    out = Preparer([Block("o", ["number", "flag"], "most_frequent", encode="onehot")]).fit(g).transform(g)
+    return _slots(out, "o_orderkey", "features", ["n0", "n1", "n2", "no", "yes"])
+
+
+@checked(f"""
+WITH g AS ({_TYPED}) SELECT o_orderkey, round(coalesce(CAST(CAST(flag AS INTEGER) AS DOUBLE), avg(CAST(CAST(flag AS INTEGER) AS DOUBLE)) OVER ()), 9) AS flag FROM g""")
+def impute_mean_boolean(spark: SparkSession, d: str) -> DataFrame:
+    g = _typed_columns(spark, d)
+    out = Imputing(inputCols=["flag"], strategy="mean").fit(g).transform(g)
+    return out.select("o_orderkey", F.round("flag", 9).alias("flag"))
+
+
+def _any_bucket_sql(c: str, buckets: int) -> str:
+    digest, rest = f"md5(coalesce(CAST({c} AS VARCHAR), 'nan'))", "CAST(0 AS BIGINT)"
+    for first, digits in ((1, 4), (5, 7), (12, 7), (19, 7), (26, 7)):
+        rest = f"(({rest} * {16**digits} + CAST('0x' || substr({digest}, {first}, {digits}) AS BIGINT)) % {buckets})"
+    return rest
+
+
+@checked(
+    f"WITH g AS (SELECT o_orderkey, {', '.join(f'{_any_bucket_sql(c, 48)} AS b{i}' for i, c in enumerate(_HASHED))} "
+    f"FROM ({ORDERS_WITH_GAPS})) SELECT o_orderkey, "
+    + ", ".join(
+        "CAST(" + " + ".join(f"CAST(b{j} = {i} AS INTEGER)" for j in range(3)) + f" AS DOUBLE) AS h_{i}"
+        for i in range(48)
+    )
+    + " FROM g"
+)
+def hash_encode_48(spark: SparkSession, d: str) -> DataFrame:
+    """Any number of buckets."""
+    g = orders_with_gaps(spark, d)
+    out = HashEncoding(inputCols=_HASHED, outputCols=["h"], buckets=48).fit(g).transform(g)
+    return _slots(out, "o_orderkey", "h", [f"h_{i}" for i in range(48)])

@@ -182,11 +182,12 @@ def _long_sql(columns, source: str, extra: str = "") -> str:
 @checked(f"""
 WITH g AS ({LINEITEM_WITH_GAPS}), v AS ({_long_sql(_BINNED, "g")}),
 b AS (SELECT "column", min(value) AS least, max(value) AS most FROM v GROUP BY 1),
-p AS (SELECT v."column", CAST(least(floor((value - least) / (most - least) * 30), 29) AS INTEGER) AS bin, least, most
-      FROM v JOIN b ON v."column" = b."column" WHERE value IS NOT NULL)
-SELECT "column", bin, round(least + (most - least) / 30 * bin, 6) AS lo,
-       round(least + (most - least) / 30 * (bin + 1), 6) AS hi, count(*) AS count
-FROM p GROUP BY "column", bin, least, most""")
+p AS (SELECT v."column", CAST(least(floor((value - least) / (most - least) * 30), 29) AS INTEGER) AS bin, count(*) AS n
+      FROM v JOIN b ON v."column" = b."column" WHERE value IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT "column", least, most, CAST(unnest(range(30)) AS INTEGER) AS bin FROM b)
+SELECT e."column", e.bin, round(least + (most - least) / 30 * e.bin, 6) AS lo,
+       round(least + (most - least) / 30 * (e.bin + 1), 6) AS hi, CAST(coalesce(n, 0) AS BIGINT) AS count
+FROM e LEFT JOIN p ON e."column" = p."column" AND e.bin = p.bin""")
 def histogram_30(spark: SparkSession, d: str) -> DataFrame:
     out = profile.histogram(lineitem_with_gaps(spark, d), _BINNED)
     return out.withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
@@ -261,3 +262,14 @@ def mixed_types(spark: SparkSession, d: str) -> DataFrame:
         .alias("mixed"),
     )
     return find(events, ["event_type", "mixed"])
+
+
+@checked("""
+SELECT 'signed' AS "column", CAST(3 AS BIGINT) AS n_distinct, CAST(4 AS BIGINT) AS n_distinct_with_missing
+FROM orders HAVING count(*) > 3""")
+def distinct_signed_zero(spark: SparkSession, d: str) -> DataFrame:
+    """0.0 and -0.0 are one value."""
+    key = F.col("o_orderkey") % 5
+    signed = F.when(key == 0, F.lit(0.0)).when(key == 1, F.lit(-0.0)).when(key == 2, F.lit(1.0)).when(key == 3, F.lit(2.5))
+    out = profile.column_profile(table(spark, d, "orders").select(signed.alias("signed")))
+    return out.select("column", "n_distinct", "n_distinct_with_missing")

@@ -14,7 +14,7 @@ from tabloom.operators.features import PitchFeatures
 from tabloom.operators.information import neighbour_information
 from tabloom.operators.prepare import Block, Preparer, feature_names
 from tabloom.operators.roles import FeatureGroups
-from tabloom.operators.sample import random_split, sides, stratified_split
+from tabloom.operators.sample import fraction_sample, random_split, sides, stratified_split
 from tabloom.plans import models
 from tabloom.plans.models import PREDICTED, Fitted
 from tabloom.plans.select import importances, random_search
@@ -120,7 +120,7 @@ def forest_run(
     label: str,
     blocks: Sequence[Block],
     trees: int = 100,
-    depth: int = 10,
+    depth: int | None = None,
     weighted: bool = True,
     engineered: bool = False,
     seed: int = 42,
@@ -163,16 +163,24 @@ def searched_run(
     folds: int = 3,
     seed: int = 42,
     parallelism: int = 2,
+    sample: float | None = None,
 ) -> Run:
-    """Random search over forests on the training side, best refitted, report on the test side."""
+    """Random search over forests on the training side, best refitted, report on the test side.
+
+    ``sample``: the share of the training rows that is searched on; the best
+    settings are then fitted on all of them.
+    """
     train, test = sides(stratified_split(df.filter(F.col(label).isNotNull()), key, label, 0.2, seed))
 
     def make(**settings):
         return lambda _: models.random_forest(seed=seed, **settings)
 
-    found, _, fitted = random_search(
-        train, key, label, Preparer(blocks), make, grid, draws, folds, seed=seed, parallelism=parallelism
+    rows = train if sample is None else fraction_sample(train, key, sample, seed)
+    found, best, fitted = random_search(
+        rows, key, label, Preparer(blocks), make, grid, draws, folds, seed=seed, parallelism=parallelism
     )
+    if sample is not None:
+        fitted = models.fit(train, label, Preparer(blocks), make(**best), weighted=bool(best.get("weighted")))
     run = _finish(fitted, test, label, df.sparkSession)
     run.search = found
     return run

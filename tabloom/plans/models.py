@@ -19,17 +19,39 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.prepare import Preparer
 from tabloom.operators.sample import with_class_weights
-from tabloom.session import kept_spread
+from tabloom.session import ensure_checkpoint_dir, kept_spread
 
 LABEL, WEIGHT, PREDICTED = "label_index", "class_weight", "predicted"
 
 
-def random_forest(trees: int = 100, depth: int = 10, leaf: int = 1, seed: int = 42, weighted: bool = False, **more):
-    """Random forest; Spark grows to depth 30 at most and has no minimum split size."""
+#: The deepest tree that Spark grows.
+DEEPEST = 30
+
+
+def random_forest(
+    trees: int = 100,
+    depth: int | None = None,
+    leaf: int = 1,
+    seed: int = 42,
+    weighted: bool = False,
+    bins: int = 32,
+    split: int = 2,
+    **more,
+):
+    """Random forest. ``depth`` None grows as deep as Spark can, which is 30 levels.
+
+    ``bins`` is the number of split candidates of a continuous feature. Deeper
+    trees and a minimum split size (``split`` over 2) do not exist here and are refused.
+    """
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"trees grow to depth {DEEPEST} at most")
+    if split > 2:
+        raise ValueError("there is no minimum split size; use a minimum leaf size")
     forest = RandomForestClassifier(
         labelCol=LABEL,
         numTrees=trees,
-        maxDepth=min(depth, 30),
+        maxDepth=DEEPEST if depth is None else depth,
+        maxBins=bins,
         minInstancesPerNode=leaf,
         featureSubsetStrategy="sqrt",
         seed=seed,
@@ -39,7 +61,7 @@ def random_forest(trees: int = 100, depth: int = 10, leaf: int = 1, seed: int =
     return forest.setWeightCol(WEIGHT) if weighted else forest
 
 
-def extra_trees(trees: int = 100, depth: int = 10, seed: int = 42, **more):
+def extra_trees(trees: int = 100, depth: int | None = None, seed: int = 42, **more):
     """Every tree sees all rows. Split points are searched, not drawn, unlike extremely randomised trees."""
     return random_forest(trees, depth, seed=seed, bootstrap=False, **more)
 
@@ -49,7 +71,7 @@ def logistic_regression(rows: int, iterations: int = 1000):
     return LogisticRegression(labelCol=LABEL, family="multinomial", maxIter=iterations, regParam=1.0 / max(rows, 1))
 
 
-def boosted_trees(rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42):
+def boosted_trees(rounds: int = 100, depth: int = 5, step: float = 0.1, seed: int = 42):
     """One boosted model per class against the rest."""
     one = GBTClassifier(labelCol=LABEL, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
     return OneVsRest(classifier=one, labelCol=LABEL)
@@ -68,13 +90,20 @@ def label_counts(df: DataFrame, label: str) -> dict[str, int]:
     return {r["c"]: r["n"] for r in sorted(counts.collect(), key=lambda r: r["c"] or "") if r["c"] is not None}
 
 
-def label_indexer(df: DataFrame, label: str, classes: Sequence[str] | None = None) -> StringIndexerModel:
-    """Classes in sorted order to 0..k-1; rows of unknown classes are dropped."""
+def label_indexer(
+    df: DataFrame, label: str, classes: Sequence[str] | None = None, unknown: str = "error"
+) -> StringIndexerModel:
+    """Classes in sorted order to 0..k-1.
+
+    ``unknown`` says what becomes of other classes: an error on the side that is
+    learned from, "keep" as class k on a side that is scored, where no
+    prediction can be right.
+    """
     names = list(label_counts(df, label)) if classes is None else list(classes)
-    return StringIndexerModel.from_labels(names, label, LABEL, "skip")
+    return StringIndexerModel.from_labels(names, label, LABEL, unknown)
 
 
-def _balanced_weight(counts: dict[str, int]) -> Column:
+def balanced_weight(counts: dict[str, int]) -> Column:
     """Weight of each row's class from its index: rows / (classes x class rows)."""
     rows = sum(counts.values())
     weights = F.array(*[F.lit(rows / (len(counts) * n)) for n in counts.values()])
@@ -130,8 +159,9 @@ def fit(
         if weighted:
             ready = with_class_weights(ready, LABEL, WEIGHT)
     elif weighted:
-        ready = ready.withColumn(WEIGHT, _balanced_weight(counts))
+        ready = ready.withColumn(WEIGHT, balanced_weight(counts))
     kept = [c for c in (LABEL, WEIGHT, preparer.output) if c in ready.columns]
+    ensure_checkpoint_dir(train.sparkSession)  # deep forests cut the lineage of their node ids there
     rows = kept_spread(ready.select(*kept))
     try:
         fitted = classifier(rows).fit(rows)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import evaluate
 from tabloom.operators.prepare import Preparer, feature_names
 from tabloom.operators.sample import repeated_folds, stratified_folds
-from tabloom.plans.models import LABEL, Fitted, fit, label_indexer
+from tabloom.plans.models import LABEL, WEIGHT, Fitted, balanced_weight, fit, label_counts, label_indexer
 from tabloom.session import durable, kept_spread
 
 METRICS = ("accuracy", "f1_weighted", "precision_weighted", "recall_weighted", "roc_auc_ovr")
@@ -46,17 +46,31 @@ def score(model, rows: DataFrame, classes: int, metrics: Sequence[str] = METRICS
 
 
 class PreparedSplit:
-    """Train and test rows of one split, prepared from the training side and kept until closed."""
+    """Train and test rows of one split, prepared from the training side and kept until closed.
 
-    def __init__(self, train: DataFrame, test: DataFrame, label: str, preparer: Preparer, keep: Sequence[str] = ()):
-        known = train.filter(F.col(label).isNotNull())
+    A test row whose class the training side lacks stays, and counts as wrong.
+    """
+
+    def __init__(
+        self,
+        train: DataFrame,
+        test: DataFrame,
+        label: str,
+        preparer: Preparer,
+        keep: Sequence[str] = (),
+        weighted: bool = False,
+    ):
+        known, asked = train.filter(F.col(label).isNotNull()), test.filter(F.col(label).isNotNull())
         self.model = preparer.fit(known)
-        self.indexer = label_indexer(known, label)
-        self.classes = list(self.indexer.labels)
+        counts = label_counts(known, label)
+        self.classes = list(counts)
+        learn, judge = (label_indexer(known, label, self.classes, unknown) for unknown in ("error", "keep"))
         columns = [*keep, LABEL, preparer.output]
-        self.train, self.test = (
-            kept_spread(self.indexer.transform(self.model.transform(side)).select(*columns)) for side in (known, test)
-        )
+        rows = learn.transform(self.model.transform(known))
+        if weighted:
+            rows = rows.withColumn(WEIGHT, balanced_weight(counts))
+        self.train = kept_spread(rows.select(*columns, *([WEIGHT] if weighted else [])))
+        self.test = kept_spread(judge.transform(self.model.transform(asked)).select(*columns))
         self.names = feature_names(self.train, preparer.output)
 
     def __enter__(self) -> "PreparedSplit":
@@ -120,7 +134,7 @@ def random_search(
     """Cross-validate drawn settings, then refit the best on all rows.
 
     ``make`` takes the settings as keywords and gives a function of the prepared
-    frame. Returns (results, best settings, refitted model); results have
+    frame; a setting ``weighted`` weighs the rows by class. Returns (results, best settings, refitted model); results have
     (params, mean, std, rank, seconds).
     """
     tried = grid_draws(grid, draws, seed)
@@ -128,7 +142,7 @@ def random_search(
     scores: list[list[float]] = [[] for _ in tried]
     seconds = [0.0 for _ in tried]
     for _, train, test in _fold_splits(folded, "fold", folds):
-        with PreparedSplit(train, test, label, preparer) as split:
+        with PreparedSplit(train, test, label, preparer, weighted=any(grid.get("weighted", []))) as split:
 
             def run(i: int) -> None:
                 start = time.perf_counter()
@@ -147,7 +161,8 @@ def random_search(
     ]
     schema = "params string, metric string, mean double, std double, rank int, seconds double"
     best = tried[order[0]]
-    return df.sparkSession.createDataFrame(rows, schema), best, fit(df, label, preparer, make(**best))
+    fitted = fit(df, label, preparer, make(**best), weighted=bool(best.get("weighted")))
+    return df.sparkSession.createDataFrame(rows, schema), best, fitted
 
 
 def compare_models(
@@ -252,7 +267,7 @@ def recursive_elimination(
     make: Callable,
     folds: int = 5,
     floor: int = 10,
-    step: int = 5,
+    step: int = 1,
     metric: str = "f1_weighted",
     seed: int = 42,
 ) -> tuple[DataFrame, list[str]]:

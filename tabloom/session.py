@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PART_BYTES = 64 * 1024 * 1024
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches; clusters bring their own."""
     return (
@@ -30,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):  # not local-cluster
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="tabloom-ckpt-")
     sc.setCheckpointDir(named)
@@ -53,9 +57,8 @@ def kept_spread(df: DataFrame) -> DataFrame:
     A table read from few files would otherwise train on few cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    kept = df.persist()
-    if kept.rdd.getNumPartitions() < cores:
-        kept.unpersist()
-        kept = df.repartition(cores).persist()
+    # the plan's own size estimate decides; nothing runs for it, and only a small frame is dealt anew
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    kept = (df.repartition(cores) if size < cores * _PART_BYTES else df).persist()
     kept.count()
     return kept

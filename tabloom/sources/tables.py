@@ -1,10 +1,9 @@
-"""Readers with a declared schema, writers, date ranges and fitted-model storage."""
+"""Readers with a declared schema, writers and date ranges."""
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,13 +15,14 @@ MISSING_TEXT = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, quoted_breaks: bool = False) -> DataFrame:
     """Header CSV read as text, missing-value tokens to null, then cast by the schema.
 
     Casting after reading keeps an all-empty column at its declared type and
-    turns junk into null instead of failing the job.
+    turns junk into null instead of failing the job. ``quoted_breaks`` reads line
+    breaks within quotes; a file is then one task, so it is off by default.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", quoted_breaks).csv(path)
     absent = [f.name for f in schema.fields if f.name not in raw.columns]
     if absent:
         raise ValueError(f"columns not in the file: {absent}")
@@ -40,17 +40,6 @@ def _typed(c: Column, kind: T.DataType) -> Column:
     return known.try_cast(kind)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet with NaN read as missing."""
-    df = spark.read.parquet(path)
-    return nan_to_null(df)
-
-
-def nan_to_null(df: DataFrame) -> DataFrame:
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
-
-
 def date_range(df: DataFrame, column: str, first: date | str, last: date | str) -> DataFrame:
     """Rows whose date lies in [first, last].
 
@@ -78,11 +67,3 @@ def land_by_date(df: DataFrame, path: str, column: str) -> None:
     """
     out = df.withColumn(column, F.to_date(column)).hint("rebalance", column)
     out.write.mode("overwrite").partitionBy(column).parquet(path)
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
