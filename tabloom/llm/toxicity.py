@@ -16,18 +16,23 @@ from pyspark.sql import functions as F
 from tabloom.functions.hashing import hash_text
 from tabloom.llm.common import durable
 
-#: Labelled documents used for fitting, at most so many of either label.
-SAMPLE = 3_000
-#: Features kept, those that tell the labels apart best.
-FEATURES = 4_096
+#: Labelled documents used for fitting, at most so many clean and toxic ones.
+SAMPLE = (8_000, 4_000)
+#: Features kept: those that lean most towards toxic, so many per toxic document within these bounds.
+FEATURES = (256, 4_096)
+FEATURES_PER_TOXIC = 6
+#: A feature must occur in so many sampled documents.
+LEAST_DOCUMENTS = 3
 #: Shortest and longest prefixes of a word that are features beside the word itself.
 PREFIXES = (3, 7)
 #: Expected severity from which a document counts as toxic.
 TOXIC_FROM = 0.5
 #: Words whose features a task remembers.
 WORDS_HELD = 500_000
+#: Thresholds of a model without features, which calls nothing toxic.
+NEVER = (30.0,)
 _EDGES = re.compile(r"^\W+|\W+$")
-_ROUNDS = 400
+_ROUNDS, _STEP, _MOMENTUM, _SHRINK = 600, 2.0, 0.9, 1e-3
 
 
 @dataclass(frozen=True)
@@ -54,15 +59,15 @@ def _names(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(PREFIXES[0], min(PREFIXES[1], len(word)) + 1))]
 
 
-def sample_ids(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(doc_id, toxic): up to ``most`` labelled documents of either label, in hash order."""
+def sample_ids(labels: DataFrame, most: tuple[int, int] = SAMPLE) -> DataFrame:
+    """(doc_id, toxic): up to so many clean and toxic labelled documents, in hash order."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [hash_text("doc_id", 11), F.col("doc_id")]
-    picks = [known.filter(F.col("toxic") == t).orderBy(*order).limit(most) for t in (0, 1)]
+    picks = [known.filter(F.col("toxic") == t).orderBy(*order).limit(most[t]) for t in (0, 1)]
     return picks[0].union(picks[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE) -> Model:
     """Fit on a bounded sample of labelled documents.
 
     The labels say toxic or not; severity grades are made from them: 0 for a
@@ -74,20 +79,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     counts = durable(picked.select("doc_id", "toxic", F.udf(features_of, "map<string,int>")("text").alias("f")))
     size = {r["toxic"]: r["count"] for r in counts.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
-        return Model({}, (0.0,))
+        return Model({}, NEVER)
     held = counts.select("doc_id", "toxic", F.explode("f").alias("feature", "n"))
     by_label = held.groupBy("feature").agg(
         F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")
     )
     bad, good = (F.col("bad") + 0.5) / (size[1] + 1.0), (F.col("good") + 0.5) / (size[0] + 1.0)
-    telling = F.abs(F.log(bad / good)) * F.abs(bad - good)
-    kept = by_label.filter("bad + good >= 3").orderBy(telling.desc(), "feature").limit(FEATURES)
-    kept = durable(kept.select("feature", F.log(bad / good).alias("lean")))
-    rows = held.join(F.broadcast(kept), "feature").select("doc_id", "feature", "n").collect()
-    lean = {r["feature"]: r["lean"] for r in kept.collect()}
-    docs_seen = {(r["doc_id"]): r["toxic"] for r in counts.select("doc_id", "toxic").collect()}
-    total = {r["doc_id"]: r["w"] for r in held.filter("not endswith(feature, '*')").groupBy("doc_id").agg(F.sum("n").alias("w")).collect()}
-    return _fit_rows(rows, lean, docs_seen, total)
+    telling = F.log(bad / good) * (bad - good)
+    kept = min(max(FEATURES_PER_TOXIC * size[1], FEATURES[0]), FEATURES[1])
+    best = by_label.filter((F.col("bad") + F.col("good") >= LEAST_DOCUMENTS) & (bad > good)).orderBy(telling.desc(), "feature").limit(kept)
+    best = durable(best.select("feature", F.log(bad / good).alias("lean")))
+    rows = held.join(F.broadcast(best), "feature").select("doc_id", "feature", "n").collect()
+    lean = {r["feature"]: r["lean"] for r in best.collect()}
+    labelled = {r["doc_id"]: r["toxic"] for r in counts.select("doc_id", "toxic").collect()}
+    plain = held.filter("not endswith(feature, '*')").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return _fit_rows(rows, lean, labelled, {r["doc_id"]: r["n"] for r in plain.collect()}) if lean else Model({}, NEVER)
 
 
 def _fit_rows(rows: list, lean: dict, labels: dict, words: dict) -> Model:
@@ -105,25 +111,22 @@ def _fit_rows(rows: list, lean: dict, labels: dict, words: dict) -> Model:
     levels = np.unique(grade)
     grade = np.searchsorted(levels, grade)
     k = len(levels) - 1
-    # columns in the order of their documents, so both products are sums by position
-    x = np.log1p(n)
-    w, theta = np.zeros(len(leans)), np.linspace(0.0, 1.0, k) if k > 1 else np.zeros(1)
     up = (grade[:, None] > np.arange(k)[None, :]).astype(np.float64)
-    g2w, g2t = np.full(len(w), 1e-8), np.full(k, 1e-8)
+    # the rarer label counts for more, by the square root of its rarity
+    weight = np.sqrt(1.0 / np.bincount(toxic, minlength=2)[toxic])
+    weight /= weight.sum()
+    w, theta = np.zeros(len(leans)), np.linspace(1.0, 2.0, k)
+    vw, vt = np.zeros(len(w)), np.zeros(k)
     for _ in range(_ROUNDS):
-        score = np.bincount(d, weights=w[f] * x, minlength=len(toxic))
-        p = 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - theta[None, :], -30, 30)))
-        miss = (p - up) / len(toxic)
-        gw = np.bincount(f, weights=miss.sum(axis=1)[d] * x, minlength=len(w)) + 1e-4 * w
-        gt = -miss.sum(axis=0)
-        g2w += gw * gw
-        g2t += gt * gt
-        w -= 0.3 * gw / np.sqrt(g2w)
-        theta -= 0.3 * gt / np.sqrt(g2t)
-        theta = np.maximum.accumulate(theta)
-    names = sorted(lean)
-    # one unit of expected severity per grade; grades that never occur are not counted
-    return Model({names[i]: float(w[i]) for i in np.nonzero(np.abs(w) > 1e-3)[0]}, tuple(map(float, theta)))
+        near_w, near_t = w + _MOMENTUM * vw, theta + _MOMENTUM * vt
+        score = np.bincount(d, weights=near_w[f], minlength=len(toxic))
+        p = 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - near_t[None, :], -30, 30)))
+        miss = (p - up) * weight[:, None]
+        gw = np.bincount(f, weights=miss.sum(axis=1)[d], minlength=len(w)) + _SHRINK * near_w
+        vw = _MOMENTUM * vw - _STEP * gw
+        vt = _MOMENTUM * vt + _STEP * miss.sum(axis=0)
+        w, theta = w + vw, np.maximum.accumulate(theta + vt)
+    return Model(dict(zip(sorted(lean), map(float, w))), tuple(map(float, theta)))
 
 
 class Scorer:
@@ -135,21 +138,20 @@ class Scorer:
 
     def __call__(self, text: str | None) -> float:
         """The sum over thresholds of the chance to lie above."""
-        weights, known, held = self.model.weights, self.known, {}
-        for word, n in Counter((text or "").lower().split()).items():
+        weights, known, held = self.model.weights, self.known, set()
+        for word in set((text or "").lower().split()):
             names = known.get(word)
             if names is None:
                 if len(known) >= WORDS_HELD:
                     known.clear()
                 names = known[word] = tuple(f for f in _names(word) if f in weights)
-            for name in names:
-                held[name] = held.get(name, 0) + n
-        score = sum(weights[f] * math.log1p(n) for f, n in sorted(held.items()))
+            held.update(names)
+        score = math.fsum(weights[f] for f in held)
         return sum(1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, score - t)))) for t in self.model.thresholds)
 
 
 def _severity(spark: SparkSession, model: Model, text: Column) -> Column:
-    sent = spark.sparkContext.broadcast(model)  # FEATURES weights at most
+    sent = spark.sparkContext.broadcast(model)  # a bounded number of weights
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(sent.value)
