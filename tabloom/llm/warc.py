@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
+from tabloom.llm.common import durable
+
 #: Columns that are WARC headers, and the header each comes from.
 HEADERS = {
     "record_type": "warc-type",
@@ -246,7 +248,8 @@ def write_pages(pages: DataFrame, folder: str) -> None:
         "page_id", "url", html.alias("html"), F.octet_length(html).alias("bytes"), F.sha2(html.cast("binary"), 256).alias("digest")
     )
     shared = sized.filter(F.col("bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    shared = shared.filter("n > 1").select("digest", "first")
+    # stored first, so that its measured size decides whether pages have to move at all
+    shared = durable(shared.filter("n > 1").select("digest", "first"))
     # a payload that a third of all pages share meets one row: large partitions of the join are split
     placed = sized.join(shared, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
