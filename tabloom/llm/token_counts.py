@@ -30,11 +30,10 @@ FREQUENT_BYTES = 16 << 20
 
 
 @lru_cache(1)
-def disputed() -> re.Pattern | None:
-    """Characters that the two libraries' versions of Unicode may class differently: those Python knows too little of."""
+def disputed() -> frozenset[str]:
+    """Characters that the two libraries' versions of Unicode may class differently: those Python does not know yet."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
-    found = [c for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.category(c) == "Cn"]
-    return re.compile(f"[{''.join(map(re.escape, found))}]") if found else None
+    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.category(c) == "Cn")
 
 
 def pre_tokens(path: str) -> Callable[[str], tuple[list[str], int]]:
@@ -43,10 +42,11 @@ def pre_tokens(path: str) -> Callable[[str], tuple[list[str], int]]:
 
     find, odd, specials = regex.compile(PATTERN).findall, disputed(), specials_of(path)
     own = Tokenizer.from_file(path).pre_tokenizer
+    high = re.compile(f"[{min(odd)}-\U0010ffff]").search if odd else lambda text: None
     apart = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) or "(?!)")
 
     def pieces(text: str) -> list[str]:
-        if odd is None or text.isascii() or not odd.search(text):
+        if text.isascii() or not high(text) or odd.isdisjoint(text):
             return find(text)
         return [text[a:b] for _, (a, b) in own.pre_tokenize_str(text)]
 

@@ -10,14 +10,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import hash_text
 from tabloom.llm.common import durable
 
 #: Labelled documents used for fitting, at most so many clean and toxic ones.
-SAMPLE = (8_000, 4_000)
+SAMPLE = (6_000, 3_000)
 #: Features kept: those that lean most towards toxic, so many per toxic document within these bounds.
 FEATURES = (256, 4_096)
 FEATURES_PER_TOXIC = 6
@@ -88,24 +88,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE) -> M
     telling = F.log(bad / good) * (bad - good)
     kept = min(max(FEATURES_PER_TOXIC * size[1], FEATURES[0]), FEATURES[1])
     best = by_label.filter((F.col("bad") + F.col("good") >= LEAST_DOCUMENTS) & (bad > good)).orderBy(telling.desc(), "feature").limit(kept)
-    best = durable(best.select("feature", F.log(bad / good).alias("lean")))
-    rows = held.join(F.broadcast(best), "feature").select("doc_id", "feature", "n").collect()
-    lean = {r["feature"]: r["lean"] for r in best.collect()}
-    labelled = {r["doc_id"]: r["toxic"] for r in counts.select("doc_id", "toxic").collect()}
-    plain = held.filter("not endswith(feature, '*')").groupBy("doc_id").agg(F.sum("n").alias("n"))
-    return _fit_rows(rows, lean, labelled, {r["doc_id"]: r["n"] for r in plain.collect()}) if lean else Model({}, NEVER)
-
-
-def _fit_rows(rows: list, lean: dict, labels: dict, words: dict) -> Model:
-    doc_at = {d: i for i, d in enumerate(sorted(labels))}
-    feature_at = {f: i for i, f in enumerate(sorted(lean))}
-    d = np.array([doc_at[r["doc_id"]] for r in rows], dtype=np.int64)
-    f = np.array([feature_at[r["feature"]] for r in rows], dtype=np.int64)
-    n = np.array([r["n"] for r in rows], dtype=np.float64)
-    toxic = np.array([labels[x] for x in sorted(labels)])
-    length = np.array([max(1, words.get(x, 1)) for x in sorted(labels)], dtype=np.float64)
-    leans = np.array([lean[x] for x in sorted(lean)])
-    share = np.bincount(d, weights=n * (leans[f] > 3.0), minlength=len(toxic)) / length
+    # numbers stand for the features: at most FEATURES of them, for each of the sampled documents
+    numbered = F.row_number().over(Window.orderBy("feature")) - 1
+    best = durable(best.select("feature", F.log(bad / good).alias("lean")).withColumn("i", numbered))
+    names = best.orderBy("i").toArrow()
+    plain = F.when(~F.endswith("feature", F.lit("*")), F.col("n"))
+    words = held.groupBy("doc_id", "toxic").agg(F.coalesce(F.sum(plain), F.lit(1)).alias("words")).orderBy("doc_id").toArrow()
+    rows = held.join(F.broadcast(best), "feature").select("doc_id", "i", "n").toArrow()
+    if not len(names):
+        return Model({}, NEVER)
+    return _fit_rows(
+        rows["doc_id"].to_numpy(),
+        rows["i"].to_numpy(),
+        rows["n"].to_numpy(),
+        words["doc_id"].to_numpy(),
+        words["toxic"].to_numpy(),
+        words["words"].to_numpy(),
+        names["feature"].to_pylist(),
+        names["lean"].to_numpy(),
+    )
+
+
+def _fit_rows(doc_ids, f, n, ids, toxic, length, names: list[str], leans) -> Model:
+    """Fit from (document, feature, count) rows and one row per document, ids in order."""
+    d = np.searchsorted(ids, doc_ids)
+    order = np.lexsort((n, f, d))  # sums do not depend on the order the rows came in
+    d, f, n = d[order], f[order], n[order]
+    share = np.bincount(d, weights=n * (leans[f] > 3.0), minlength=len(toxic)) / np.maximum(length, 1)
     cuts = np.quantile(share[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (share > cuts[0]) + (share > cuts[1]), 0)
     levels = np.unique(grade)
@@ -126,7 +135,7 @@ def _fit_rows(rows: list, lean: dict, labels: dict, words: dict) -> Model:
         vw = _MOMENTUM * vw - _STEP * gw
         vt = _MOMENTUM * vt + _STEP * miss.sum(axis=0)
         w, theta = w + vw, np.maximum.accumulate(theta + vt)
-    return Model(dict(zip(sorted(lean), map(float, w))), tuple(map(float, theta)))
+    return Model(dict(zip(names, map(float, w))), tuple(map(float, theta)))
 
 
 class Scorer:
