@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Fixed masks over token positions; a zero is a position that may differ.
 MASKS = ("1110110111", "1101011011", "11011100101", "10110101111")
+#: Masks for items shorter than those above.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
 #: A leak has so many matching tokens, or this share of a shorter item's.
 LEAST_TOKENS = 13
 SHARE = 0.8
@@ -49,16 +51,13 @@ def build(items: list[tuple[int | None, str | None]]) -> Index:
         ids = [vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens_of(text)]
         if len(ids) >= SHORTEST:
             coded.append((item, np.array(ids, dtype=np.uint64)))
-    masks = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
-    longest = max(m[-1] for m in masks) + 1
-    # items shorter than a mask are looked for as a whole
-    short = sorted({len(ids) for _, ids in coded if len(ids) < longest})
-    masks += [np.arange(n) for n in short]
+    masks = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in (*MASKS, *SHORT_MASKS)]
+    longest = max(len(m) for m in MASKS)
     keys, tables = [], []
     for k, m in enumerate(masks):
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, (_, ids) in enumerate(coded):
-            if k >= len(MASKS) and len(ids) != len(m):
+            if k >= len(MASKS) and len(ids) >= longest:
                 continue
             for offset, key in enumerate(_seeds(ids, m).tolist()):
                 found[key].append((at, offset))

@@ -112,7 +112,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path in partition.paths:
             system, name = _system(path)
-            with system.open_input_stream(name) if name.endswith(".gz") else system.open_input_file(name) as raw:
+            with system.open_input_stream(name, compression=None) if name.endswith(".gz") else system.open_input_file(name) as raw:
                 for row in self.records(raw, path, name.endswith(".gz")):
                     rows.append(row)
                     held += 500 + len(row["payload"] or b"")
