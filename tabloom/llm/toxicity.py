@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE) -> M
     the sampled documents' counts of the features that were kept.
     """
     picked = docs.select("doc_id", "text").join(F.broadcast(durable(sample_ids(labels, most))), "doc_id")
-    counts = durable(picked.select("doc_id", "toxic", F.udf(features_of, "map<string,int>")("text").alias("f")))
+    counts = durable(picked.select("doc_id", "toxic", F.udf(lambda t: features_of(t), "map<string,int>")("text").alias("f")))
     size = {r["toxic"]: r["count"] for r in counts.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
         return Model({}, NEVER)
