@@ -23,9 +23,11 @@ from tabloom.functions.hashing import md5_bucket_sql
 from tabloom.operators.aggregate import long_form, wide_stats
 from tabloom.operators.learned import ColumnExpressions, LookupModel, sql_literal, sql_name
 from tabloom.operators.quantiles import exact_quantiles
+from tabloom.session import durable
 
 PREFIX = "p__"
 INFREQUENT = "__infrequent__"
+#: Up to so many values a column's labels are kept as a list with the model, beyond that as a table.
 MAX_LABELS = 100_000
 
 
@@ -367,8 +369,12 @@ class OrdinalEncoding(_Columns):
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         pairs = self._pairs()
-        labels = collect_labels(value_table(dataset, [i for i, _ in pairs]), _sort_types(dataset))
-        return PipelineModel(ordinal_stages(pairs, labels, {i: _spelled(dataset, i) for i, _ in pairs}))
+        values = value_table(dataset, [i for i, _ in pairs]).persist()
+        spelled = {i: _spelled(dataset, i) for i, _ in pairs}
+        try:
+            return PipelineModel(ordinal_stages(values, pairs, _sort_types(dataset), spelled))
+        finally:
+            values.unpersist()
 
 
 def _sort_types(df: DataFrame) -> list[str]:
@@ -379,13 +385,9 @@ def _sort_types(df: DataFrame) -> list[str]:
 def collect_labels(values: DataFrame, numeric: Sequence[str]) -> dict[str, list[str]]:
     """column -> its sorted values as text: the slots of the encoded vector.
 
-    The list is as long as the vector is wide, so its length is checked before
-    it is gathered.
+    For columns within ``MAX_LABELS``; the others are told by ``wide_columns``.
     """
     known = values.filter(F.col("value").isNotNull())
-    widest = known.groupBy("column").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if widest is not None and widest > MAX_LABELS:
-        raise ValueError(f"{widest} categories in one column: limit, hash or frequency-encode them")
     labels: dict[str, list[str]] = {}
     for r in known.select("column", "value").collect():
         labels.setdefault(r["column"], []).append(r["value"])
@@ -393,6 +395,43 @@ def collect_labels(values: DataFrame, numeric: Sequence[str]) -> dict[str, list[
     return {c: sorted(v, key=_by_number if c in order else str) for c, v in labels.items()}
 
 
+def wide_columns(values: DataFrame) -> dict[str, int]:
+    """column -> number of values, of the columns with more than ``MAX_LABELS``."""
+    sizes = values.filter(F.col("value").isNotNull()).groupBy("column").agg(F.count("*").alias("n"))
+    return {r["column"]: r["n"] for r in sizes.filter(F.col("n") > MAX_LABELS).collect()}
+
+
+def code_table(values: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """(column, value, stat, k): the 0-based place of every value in its column's order.
+
+    Values are sorted in ranges; a place is the row's place in its range and the
+    counted rows of the ranges before it, so no column is held by one task.
+    """
+    of_number = F.col("column").isin(list(numeric))
+    order = [F.col("column"), F.when(of_number, F.col("value").try_cast("double")).asc_nulls_last()]
+    order += [F.when(of_number, F.col("value").try_cast("decimal(38,0)")), F.col("value")]
+    known = values.filter(F.col("value").isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = durable(known.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    runs = placed.groupBy("column", part.alias("__part")).agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    before, starts = {}, []
+    # one row per column and range
+    for r in sorted(runs.collect(), key=lambda r: (r["column"], r["__part"])):
+        starts.append((r["column"], r["__part"], before.get(r["column"], 0) - r["first"]))
+        before[r["column"]] = before.get(r["column"], 0) + r["n"]
+    shift = values.sparkSession.createDataFrame(starts, "column string, __part bigint, __shift bigint")
+    found = placed.withColumn("__part", part).join(F.broadcast(shift), ["column", "__part"])
+    return found.select("column", "value", (F.col("__at") + F.col("__shift")).cast("double").alias("stat"), "k")
+
+
+def _looked_up(values: DataFrame, wide: Sequence[str], numeric: Sequence[str], text: Mapping[str, str], out: Mapping[str, str], default: float):
+    """Stage that looks the codes of wide columns up in a table."""
+    codes = code_table(values.filter(F.col("column").isin(list(wide))), numeric)
+    renamed = F.create_map(*[F.lit(x) for c in wide for x in (c, text[c])])
+    table = codes.withColumn("column", renamed[F.col("column")]).persist()
+    return LookupModel.of(table, [text[c] for c in wide], [out[c] for c in wide], default)
+
+
 def _by_number(text: str) -> tuple:
     """Numbers by size, whole ones exactly; a text that fills gaps comes last."""
     try:
@@ -409,8 +448,19 @@ def _indexers(labels, inputs: Sequence[str], outputs: Sequence[str]) -> list[Str
     ]
 
 
-def ordinal_stages(pairs, labels: Mapping[str, list[str]], spelled: Mapping[str, str]) -> list:
-    """Stages turning columns into codes; ``spelled`` has the SQL of each column's text."""
+def ordinal_stages(values: DataFrame, pairs, numeric: Sequence[str], spelled: Mapping[str, str]) -> list:
+    """Stages turning columns into codes, from counted values; ``spelled`` has the SQL of each column's text."""
+    wide = wide_columns(values)
+    narrow = [(i, o) for i, o in pairs if i not in wide]
+    stages = _listed_codes(narrow, collect_labels(values.filter(~F.col("column").isin(list(wide))), numeric), spelled) if narrow else []
+    if wide:
+        text, out = {i: f"{o}__tx" for i, o in pairs if i in wide}, dict(pairs)
+        stages.append(ColumnExpressions(outputs=list(text.values()), expressions=[spelled[i] for i in text]))
+        stages.append(_looked_up(values, list(text), numeric, text, out, -1.0))
+    return stages
+
+
+def _listed_codes(pairs, labels: Mapping[str, list[str]], spelled: Mapping[str, str]) -> list:
     indexed = [f"{o}__ix" for _, o in pairs]
     text = [f"{o}__tx" for _, o in pairs]
     return [
@@ -460,7 +510,19 @@ def one_hot_stages(values, pairs, fills: Mapping, max_categories: int, drop_bina
         labels = collect_labels(narrow, _sort_types(df))
         labels.update({c: v + [INFREQUENT] for c, v in collect_labels(kept, _sort_types(df)).items()})
     else:
-        labels = collect_labels(own, _sort_types(df))
+        vast = wide_columns(own)
+        labels = collect_labels(own.filter(~F.col("column").isin(list(vast))), _sort_types(df))
+        if vast:
+            # slots without names: the vector is wider than a list of names should be
+            out = {i: f"{o}__ix" for i, o in pairs if i in vast}
+            for c, n in vast.items():
+                stages.append(_looked_up(own, [c], _sort_types(df), text, out, float(n)))
+            last = df.sparkSession.createDataFrame([tuple(float(vast[c] - 1) for c in out)], list(out.values()))
+            slots = OneHotEncoder(
+                inputCols=list(out.values()), outputCols=[dict(pairs)[c] for c in out], dropLast=True, handleInvalid="keep"
+            )
+            stages.append(slots.fit(last))
+            pairs = [(i, o) for i, o in pairs if i not in vast]
 
     two = [(i, o) for i, o in pairs if drop_binary and len(labels.get(i, [])) == 2]
     many = [(i, o) for i, o in pairs if (i, o) not in two]
@@ -552,8 +614,7 @@ class Preparer:
                 assembled += [o for _, o in pairs]
             elif b.encode == "ordinal":
                 own = _filled_values(values.filter(F.col("column").isin(list(b.columns))), gap)
-                labels = collect_labels(own, _sort_types(df))
-                stages += ordinal_stages(pairs, labels, {c: _spelled(df, c, gap.get(c)) for c in b.columns})
+                stages += ordinal_stages(own, pairs, _sort_types(df), {c: _spelled(df, c, gap.get(c)) for c in b.columns})
                 assembled += [o for _, o in pairs]
             else:
                 simple.update(self._measures(df, b, pairs, gap, stats))

@@ -36,6 +36,7 @@ class HashCuts:
         self.keys = df.select(key, *([] if by is None else [by]), self._group().alias(_ALL))
         self.counts = _group_counts(self.keys, [_ALL]).persist()
         self.small = is_small(self.counts, [_ALL])
+        self.digits = cell_digits(self.counts.agg(F.max("__n")).first()[0])
 
     def _group(self) -> Column:
         return F.lit(0) if self.by is None else F.col(self.by)
@@ -54,7 +55,7 @@ class HashCuts:
             ),
         )
         # a cut behind the last row of its group has no digest and marks nothing
-        at = hash_cutpoints(self.keys, self.key, seed, cuts, [_ALL], self.small)
+        at = hash_cutpoints(self.keys, self.key, seed, cuts, [_ALL], self.small, self.digits)
         # one row per group, kept: every later pass over the rows compares with it
         digests = at.groupBy(_ALL).pivot("cut", list(range(len(positions)))).agg(F.first("digest")).persist()
         table = F.broadcast(digests) if self.small else digests
@@ -147,7 +148,15 @@ def undersample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFram
     return kept.filter(F.col("__m") == 0).drop("__m")
 
 
-def hash_ranked(df: DataFrame, key: str, label: str, seed: int, output: str, digits: int = 3) -> DataFrame:
+def cell_digits(rows: int | None) -> int:
+    """Hex digits of the hash cells of a group, so that a cell holds ten thousand rows or so."""
+    digits = 2
+    while (rows or 0) > 10_000 * 16**digits and digits < 8:
+        digits += 1
+    return digits
+
+
+def hash_ranked(df: DataFrame, key: str, label: str, seed: int, output: str, digits: int) -> DataFrame:
     """Add the 0-based rank within the class in hash order, class by class in hash cells."""
     hashed = df.withColumn("__h", hash_text(key, seed)).withColumn("__cell", hash_cell(F.col("__h"), digits))
     counts = hashed.groupBy(label, "__cell").agg(F.count("*").alias("__k"))
@@ -188,7 +197,7 @@ def drawn_rows(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame
     )
     classes = need.select(label)
     short = known.join(F.broadcast(classes) if small else classes, label, "left_semi")
-    ranked = hash_ranked(short, key, label, seed, "__rank")
+    ranked = hash_ranked(short, key, label, seed, "__rank", cell_digits(most))
     return ranked.join(drawn, [label, "__rank"]).select(*df.columns, "__times")
 
 

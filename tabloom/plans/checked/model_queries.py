@@ -15,7 +15,7 @@ from tabloom.operators.roles import FeatureGroups
 from tabloom.operators.sample import sides, stratified_split
 from tabloom.plans import flows, models, select
 from tabloom.plans.checked import checked
-from tabloom.plans.checked.inputs import pitches_from_orders, table
+from tabloom.plans.checked.inputs import PITCHES_FROM_ORDERS, pitches_from_orders, table
 from tabloom.plans.checked.sampling_queries import ranked_sql
 from tabloom.session import ensure_checkpoint_dir
 
@@ -134,16 +134,26 @@ def class_probability_means(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(LABEL).agg(*[F.avg(c).alias(c) for c in fitted.classes])
 
 
-@checked()
+_OUTCOME = """CASE WHEN strikes = 2 AND coalesce(release_speed, 80.0) > 85 THEN 'swinging_strike' WHEN plate_z > 3.4 THEN 'ball'
+  WHEN plate_x < -0.4 THEN 'foul' WHEN pitch_key % 9 = 0 THEN 'ball' ELSE 'called_strike' END"""
+_SPLIT = (
+    f"p AS ({PITCHES_FROM_ORDERS}), o AS (SELECT * REPLACE ({_OUTCOME} AS description) FROM p), "
+    f"k AS ({ranked_sql(42, 'description', 'o', 'pitch_key')}), t AS (SELECT *, r < round(n * 0.2E0) AS is_test FROM k)"
+)
+
+
+@checked(f"WITH {_SPLIT} SELECT description, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM t WHERE is_test GROUP BY 1")
 def saved_model_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Counts from a fitted pipeline written, read back and applied."""
+    """Test rows whose prediction changes when the fitted pipeline is written and read back."""
     df = _pitches(spark, d)
     train, test = sides(stratified_split(df, KEY, LABEL))
     fitted = models.fit(train, LABEL, Preparer(flows.hashed_blocks(GROUPS)), _forest())
     path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
     fitted.save(path)
-    again = models.Fitted.load(path)
-    return evaluate.confusion(again.predict(test), LABEL, models.PREDICTED)
+    before = fitted.predict(test).select(KEY, LABEL, F.col(models.PREDICTED).alias("before"))
+    after = models.Fitted.load(path).predict(test).select(KEY, F.col(models.PREDICTED).alias("after"))
+    both = before.join(after, KEY)
+    return both.groupBy(LABEL).agg(F.count("*").alias("n"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("differing"))
 
 
 @checked()

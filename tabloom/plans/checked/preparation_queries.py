@@ -28,6 +28,7 @@ from tabloom.plans.checked.inputs import (
     pitches_from_orders,
     table,
 )
+from tabloom.plans.checked.profile_queries import union_over
 
 
 @checked(f"""
@@ -264,7 +265,27 @@ def prepare_diagnosis(spark: SparkSession, d: str) -> DataFrame:
     return prepare.explain_prepare(Preparer(PITCH_BLOCKS), pitches_from_orders(spark, d))
 
 
-@checked()
+_SCALED = [c for b in PITCH_BLOCKS[:2] for c in b.columns]
+_PITCH_HASHED = PITCH_BLOCKS[-1].columns
+
+
+def _vector_means_sql() -> str:
+    slots = [(c, "SELECT 0.0E0") for c in _SCALED]
+    slots += [(f"stand_{v}", f"SELECT avg(CAST(coalesce(stand, (SELECT stand FROM s)) = '{v}' AS INTEGER)) FROM p") for v in "FOP"]
+    slots += [("pitcher", "SELECT sum(n * n) / CAST(sum(n) AS DOUBLE) FROM i")]
+    bucket = lambda c: f"CAST('0x' || right(md5(coalesce(CAST({c} AS VARCHAR), 'nan')), 2) AS INTEGER) % 8"
+    for k in range(8):
+        hits = " + ".join(f"CAST({bucket(c)} = {k} AS INTEGER)" for c in _PITCH_HASHED)
+        slots.append((f"Hash_hash_{k}", f"SELECT avg({hits}) FROM p"))
+    return union_over(
+        list(enumerate(slots)),
+        lambda x: f"SELECT CAST({x[0]} AS INTEGER) AS slot, '{x[1][0]}' AS feature, round(CAST(({x[1][1]}) AS DOUBLE), 6) AS mean",
+    )
+
+
+@checked(f"""
+WITH p AS ({PITCHES_FROM_ORDERS}), s AS (SELECT stand, count(*) AS n FROM p WHERE stand IS NOT NULL GROUP BY 1 ORDER BY n DESC, stand LIMIT 1),
+i AS (SELECT pitcher, count(*) AS n FROM p GROUP BY 1) {_vector_means_sql()}""")
 def vector_names(spark: SparkSession, d: str) -> DataFrame:
     """(slot, feature) of the prepared vector, with the slot's mean over all rows."""
     p = pitches_from_orders(spark, d)
@@ -272,7 +293,7 @@ def vector_names(spark: SparkSession, d: str) -> DataFrame:
     names = prepare.feature_names(out)
     slots = out.select(F.posexplode(vector_to_array("features")).alias("slot", "x"))
     label = F.array(*[F.lit(n) for n in names])
-    means = slots.groupBy("slot").agg(F.avg("x").alias("mean"))
+    means = slots.groupBy("slot").agg((F.round(F.avg("x"), 6) + 0.0).alias("mean"))
     return means.select("slot", label[F.col("slot")].alias("feature"), "mean")
 
 

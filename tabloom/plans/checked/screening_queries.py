@@ -126,7 +126,7 @@ def _shipped(spark: SparkSession, d: str) -> DataFrame:
 _SHIPPED = "SELECT l_returnflag, l_linestatus, l_suppkey, month(l_shipdate) AS ship_month FROM lineitem"
 
 
-def _chi_sql(label: str, features) -> str:
+def _chi_sql(label: str, features, digits: int = 6) -> str:
     return (
         f"WITH g AS ({_SHIPPED}), cells AS ("
         + union_over(
@@ -140,7 +140,8 @@ def _chi_sql(label: str, features) -> str:
         "grid AS (SELECT r.feature, r.value, c.class, r, c, n, vals, classes, coalesce(o, 0) AS o, r * c / CAST(n AS DOUBLE) AS e, "
         "  (vals - 1) * (classes - 1) AS dof FROM r JOIN c ON r.feature = c.feature JOIN n ON r.feature = n.feature "
         "  JOIN k ON r.feature = k.feature LEFT JOIN cells ON cells.feature = r.feature AND cells.value = r.value AND cells.class = c.class) "
-        "SELECT feature, round(sum(power(abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e), 6) AS chi2, "
+        "SELECT feature, round(sum(power(abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e), "
+        f"{digits}) AS chi2, "
         'CAST(max(dof) AS BIGINT) AS dof, CAST(max(n) AS BIGINT) AS n, CAST(max(vals) AS BIGINT) AS "values" '
         "FROM grid GROUP BY feature HAVING max(vals) <= 50 AND min(o) >= 5"
     )
@@ -157,27 +158,38 @@ def chi2_two_classes(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(out, "chi2", 6)
 
 
-@checked()
+@checked(
+    f"WITH t AS ({_chi_sql('l_returnflag', _CATEGORIES, 12)}) "
+    "SELECT feature, dof, round(least(1, (SELECT sum(exp(i * ln(chi2 / 2) - chi2 / 2 - lgamma(i + 1))) "
+    "FROM (SELECT unnest(range(dof // 2)) AS i))), 6) AS p_value FROM t"
+)
 def chi2_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return screen.with_chi2_p(screen.chi_square(_shipped(spark, d), _CATEGORIES, "l_returnflag"))
+    """Even degrees of freedom, where the tail is a finite sum."""
+    out = screen.with_chi2_p(screen.chi_square(_shipped(spark, d), _CATEGORIES, "l_returnflag"))
+    return _rounded(out.select("feature", "dof", "p_value"), "p_value", 6)
 
 
-@checked(
-    f"WITH g AS ({LINEITEM_WITH_GAPS}) "
-    + union_over(
+def _anova_sql(digits: int) -> str:
+    return f"WITH g AS ({LINEITEM_WITH_GAPS}) " + union_over(
         _NUMERIC,
-        lambda c: f"SELECT '{c}' AS feature, round((sum(n * (m - g0) * (m - g0)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 6) AS f, "
+        lambda c: f"SELECT '{c}' AS feature, round((sum(n * (m - g0) * (m - g0)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), {digits}) AS f, "
         f"count(*) - 1 AS between_dof, CAST(sum(n) - count(*) AS BIGINT) AS within_dof FROM (SELECT count({c}) AS n, avg({c}) AS m, "
         f"var_pop({c}) AS v, (SELECT avg({c}) FROM g) AS g0 FROM g GROUP BY l_returnflag)",
     )
-)
+
+
+@checked(_anova_sql(6))
 def anova_f(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(screen.anova(lineitem_with_gaps(spark, d), _NUMERIC, "l_returnflag"), "f", 6)
 
 
-@checked()
+@checked(
+    f"SELECT feature, within_dof, round(power(1 + 2 * f / within_dof, -(within_dof / 2.0E0)), 6) AS p_value FROM ({_anova_sql(12)})"
+)
 def anova_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return screen.with_f_p(screen.anova(lineitem_with_gaps(spark, d), _NUMERIC, "l_returnflag"))
+    """Three classes, where the tail has a closed form."""
+    out = screen.with_f_p(screen.anova(lineitem_with_gaps(spark, d), _NUMERIC, "l_returnflag"))
+    return _rounded(out.select("feature", "within_dof", "p_value"), "p_value", 6)
 
 
 def _information_sql(source: str, features, label: str) -> str:
