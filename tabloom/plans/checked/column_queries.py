@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import roles
 from tabloom.operators.lookup import lookup
 from tabloom.operators.profile import value_counts
+from tabloom.plans import pitches
 from tabloom.plans.checked import checked
 from tabloom.plans.checked.inputs import (
     LINEITEM_WITH_GAPS,
@@ -199,3 +200,91 @@ def missing_columns_sorted(spark: SparkSession, d: str) -> DataFrame:
 
     out = missing_profile(lineitem_with_gaps(spark, d)).filter(F.col("missing") > 0)
     return out.select("column", F.col("missing").alias("n"))
+
+
+# ---------------------------------------------------------------- the shipped 113-column configuration
+
+
+def _pitch_table(spark: SparkSession, d: str) -> DataFrame:
+    """Orders under the shipped schema: text, whole numbers and measures by declared type, every deprecated column half empty."""
+    key = F.col("o_orderkey")
+    by_kind = {
+        "string": F.col("o_orderstatus"),
+        "bigint": F.col("o_custkey"),
+        "int": (key % 40).cast("int"),
+        "double": F.col("o_totalprice"),
+        "date": F.to_date("o_orderdate"),
+    }
+    columns = []
+    for f in pitches.schema().fields:
+        value = by_kind[f.dataType.simpleString()]
+        columns.append((F.when(key % 2 == 0, value) if f.name in pitches.DEPRECATED else value).alias(f.name))
+    return table(spark, d, "orders").select(*columns)
+
+
+def _names_sql(groups: dict) -> str:
+    rows = ", ".join(f"('{g}', '{c}')" for g, names in groups.items() for c in names)
+    return f'SELECT g AS "group", c AS "column", (SELECT count(*) FROM orders) AS n FROM (VALUES {rows}) v(g, c)'
+
+
+def _counted_lists() -> dict:
+    """What the rules must give: text in the names, half-empty columns and five fixed names are left out."""
+    by_name = [c for c in pitches.columns() if any(x in c for x in pitches.BY_NAME)]
+    gone = [*by_name, *pitches.DEPRECATED, "game_year", "game_type", "des", "player_name", "type"]
+    return {
+        "categorical": pitches.CATEGORICAL,
+        "identifying": ("game_date", *pitches.FIELDERS, "batter", "pitcher", "game_pk"),
+        "id_flags": pitches.BASES,
+        "excluded": [c for c in dict.fromkeys(gone) if c not in pitches.BASES],
+    }
+
+
+@checked(_names_sql(_counted_lists()))
+def assembled_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Named column lists read off a table by name, missing share and fixed names."""
+    df = _pitch_table(spark, d)
+    groups = pitches.counted_groups(df)
+    rows = [(g, c) for g in ("categorical", "identifying", "id_flags", "excluded") for c in getattr(groups, g)]
+    named = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(c).alias("column")) for g, c in rows])
+    return df.agg(F.count("*").alias("n")).select(F.inline(named), "n")
+
+
+@checked("""
+SELECT o_orderkey % 40 AS balls, o_orderstatus AS stand, count(*) AS n, CAST(67 AS INTEGER) AS columns_left
+FROM orders GROUP BY 1, 2""")
+def shipped_drop_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Leaking, deprecated, redundant and game columns dropped by the shipped lists: 66 features and the target stay."""
+    gone = [*pitches.GAME, *pitches.LEAKY, *pitches.DEPRECATED, *pitches.REDUNDANT]
+    left = roles.drop_strict(_pitch_table(spark, d), gone)
+    out = left.groupBy(F.col("balls").cast("bigint").alias("balls"), "stand").agg(F.count("*").alias("n"))
+    return out.withColumn("columns_left", F.lit(len(left.columns)))
+
+
+@checked("SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def second_schema_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same reader over another table with a schema of its own."""
+    customer = table(spark, d, "customer")
+    few = customer.select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    path = _scratch(spark)
+    write_csv(few, path)
+    return read_csv(spark, path, few.schema)
+
+
+@checked("""
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1""")
+def first_row(spark: SparkSession, d: str) -> DataFrame:
+    """One example row, by an explicit order."""
+    return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1).select("o_orderkey", "o_totalprice")
+
+
+@checked("""
+SELECT o_orderkey, coalesce(o_orderstatus, 'none') || '/' || substr(o_orderpriority, 1, 1) AS status
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders)""")
+def function_as_stage(spark: SparkSession, d: str) -> DataFrame:
+    """A plain function of a frame used as a step."""
+
+    def tagged(df: DataFrame, other: str) -> DataFrame:
+        first = F.substring("o_orderpriority", 1, 1)
+        return df.withColumn("status", F.concat_ws("/", F.coalesce("o_orderstatus", F.lit(other)), first))
+
+    return orders_with_gaps(spark, d).transform(tagged, "none").select("o_orderkey", "status")

@@ -137,3 +137,23 @@ def test_repeats_of_one_row_are_chunked(spark, monkeypatch):
     out = sample.repeat_rows(df, "t", "copy", "id")
     assert sorted(r.copy for r in out.filter("id = 1").collect()) == list(range(1, 36))
     assert [r.copy for r in out.filter("id = 2").collect()] == [1]
+
+
+def test_shuffle_lookup_with_a_third_of_keys_missing(spark):
+    from tabloom.operators.lookup import lookup
+
+    df = spark.range(300).selectExpr("id", "CASE WHEN id % 3 <> 0 THEN id % 7 END AS k")
+    table = spark.createDataFrame([(i, i * 10) for i in range(5)], "k bigint, stat bigint")
+    got = {r["id"]: r["stat"] for r in lookup(df, table, ["k"], small=False).collect()}
+    assert got == {i: (i % 7 * 10 if i % 3 and i % 7 < 5 else None) for i in range(300)}
+    plan = lookup(df, table, ["k"], small=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull" in plan.lower()
+
+
+def test_draws_use_no_nested_loop(spark):
+    from tabloom.operators.sample import drawn_rows
+
+    df = spark.range(60).selectExpr("id", "IF(id < 50, 'a', 'b') AS label")
+    out = drawn_rows(df, "id", "label")
+    assert sum(r["__times"] for r in out.collect()) == 40
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()

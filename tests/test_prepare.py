@@ -150,3 +150,27 @@ def test_diagnosis_names_the_failing_block(spark):
     got = explain_prepare(Preparer([Block("ok", ["n"], "mean"), Block("bad", ["nope"], "mean")]), frame(spark)).collect()
     assert {r.block for r in got if r.error} == {"bad"}
     assert {r.rows for r in got if r.block == "ok"} == {4}
+
+
+def test_columns_wider_than_a_list_of_labels(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+
+    from tabloom.operators import prepare
+
+    rows = [(i, (i * 7) % 40, f"v{(i * 3) % 25:02d}") for i in range(200)] + [(200, None, None)]
+    df = spark.createDataFrame(rows, "k int, n bigint, t string")
+    unseen = df.union(spark.createDataFrame([(201, 999, "zz")], df.schema))
+    blocks = [Block("o", ["n", "t"], encode="ordinal"), Block("h", ["n", "t"], encode="onehot")]
+
+    def run():
+        by_block = []
+        for b in blocks:
+            out = Preparer([b]).fit(df).transform(unseen)
+            by_block.append(sorted((r.k, r.v) for r in out.select("k", vector_to_array("features").alias("v")).collect()))
+        return by_block
+
+    listed = run()
+    monkeypatch.setattr(prepare, "MAX_LABELS", 10)
+    assert run() == listed
+    assert listed[0][200][1] == [-1.0, -1.0] and listed[0][201][1] == [-1.0, -1.0]
+    assert sum(listed[1][201][1]) == 0 and sum(listed[1][0][1]) == 2
