@@ -25,8 +25,10 @@ FEATURES_PER_TOXIC = 6
 LEAST_DOCUMENTS = 3
 #: Shortest and longest prefixes of a word that are features beside the word itself.
 PREFIXES = (3, 7)
+#: Share of the toxic documents in the weight of all sampled ones.
+TOXIC_WEIGHT = 0.2
 #: Expected severity from which a document counts as toxic.
-TOXIC_FROM = 0.5
+TOXIC_FROM = 0.3
 #: Words whose features a task remembers.
 WORDS_HELD = 500_000
 #: Thresholds of a model without features, which calls nothing toxic.
@@ -121,9 +123,9 @@ def _fit_rows(doc_ids, f, n, ids, toxic, length, names: list[str], leans) -> Mod
     grade = np.searchsorted(levels, grade)
     k = len(levels) - 1
     up = (grade[:, None] > np.arange(k)[None, :]).astype(np.float64)
-    # the rarer label counts for more, by the square root of its rarity
-    weight = np.sqrt(1.0 / np.bincount(toxic, minlength=2)[toxic])
-    weight /= weight.sum()
+    # whatever the sample's mixture, the labels weigh alike in every fit
+    share_of = np.array([1 - TOXIC_WEIGHT, TOXIC_WEIGHT]) / np.bincount(toxic, minlength=2)
+    weight = share_of[toxic]
     w, theta = np.zeros(len(leans)), np.linspace(1.0, 2.0, k)
     vw, vt = np.zeros(len(w)), np.zeros(k)
     for _ in range(_ROUNDS):
