@@ -19,7 +19,7 @@ from tabloom.llm.common import durable, row_key
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens a task holds before it hands its counts on.
-HELD = 500_000
+HELD = 200_000
 #: Rows handed on at a time.
 ROWS_AT_ONCE = 20_000
 #: A frequent pre-token is one of so many occurrences; fewer, if those pass the bounds below.
