@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import unicodedata
@@ -20,6 +21,8 @@ from tabloom.llm.common import durable, row_key
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens a task holds before it hands its counts on.
 HELD = 200_000
+#: Pre-tokens encoded at a time.
+ENCODED_AT_ONCE = 1_000
 #: Rows handed on at a time.
 ROWS_AT_ONCE = 20_000
 #: A frequent pre-token is one of so many occurrences; fewer, if those pass the bounds below.
@@ -97,14 +100,17 @@ def with_lengths(distinct: DataFrame, path: str) -> DataFrame:
     """Add ``tokens``, the number of tokens of each pre-token, from the library itself."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         for batch in batches:
-            pieces = batch.column(0).to_pylist()
-            tokens = [len(e) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            tokens = []
+            for at in range(0, batch.num_rows, ENCODED_AT_ONCE):
+                pieces = batch.column(0).slice(at, ENCODED_AT_ONCE).to_pylist()
+                tokens += [len(e) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], ["piece", "n", "tokens"]
             )
