@@ -45,19 +45,19 @@ def _pitches(spark: SparkSession, d: str) -> DataFrame:
     return pitches_from_orders(spark, d).withColumn(LABEL, outcome)
 
 
-def _forest(trees: int = 10, depth: int = 6):
+def _forest(trees: int = 100, depth: int | None = None):
     return lambda _: models.random_forest(trees, depth)
 
 
 @checked()
 def forest_report(spark: SparkSession, d: str) -> DataFrame:
-    return flows.forest_run(_pitches(spark, d), KEY, LABEL, flows.hashed_blocks(GROUPS), trees=20, depth=5).report
+    return flows.forest_run(_pitches(spark, d), KEY, LABEL, flows.hashed_blocks(GROUPS)).report
 
 
 @checked()
 def forest_importances(spark: SparkSession, d: str) -> DataFrame:
-    run = flows.forest_run(_pitches(spark, d), KEY, LABEL, flows.counted_blocks(GROUPS), trees=20, depth=5)
-    return run.importance.limit(15)
+    run = flows.forest_run(_pitches(spark, d), KEY, LABEL, flows.counted_blocks(GROUPS))
+    return run.importance
 
 
 @checked()
@@ -68,14 +68,14 @@ def engineered_forest_report(spark: SparkSession, d: str) -> DataFrame:
         Block("made", ["count_leverage", "break_magnitude", "pitch_location_from_center"], "mean", scale="standard"),
         Block("state", ["inning_phase", "count_state"], encode="onehot"),
     ]
-    return flows.forest_run(_pitches(spark, d), KEY, LABEL, more, trees=20, depth=5, engineered=True).report
+    return flows.forest_run(_pitches(spark, d), KEY, LABEL, more, engineered=True).report
 
 
 @checked()
 def baseline_forest_report(spark: SparkSession, d: str) -> DataFrame:
     df = _pitches(spark, d)
     features = [*GROUPS.continuous, *GROUPS.discrete, *GROUPS.categorical]
-    return flows.forest_run(df, KEY, LABEL, flows.typed_blocks(df, features), trees=20, depth=5).report
+    return flows.forest_run(df, KEY, LABEL, flows.typed_blocks(df, features)).report
 
 
 @checked()
@@ -87,13 +87,13 @@ def ordinal_forest_report(spark: SparkSession, d: str) -> DataFrame:
 
 @checked()
 def extra_trees_report(spark: SparkSession, d: str) -> DataFrame:
-    make = lambda _: models.extra_trees(10, 6)
+    make = lambda _: models.extra_trees()
     return flows.model_run(_pitches(spark, d), KEY, LABEL, flows.counted_blocks(GROUPS), make).report
 
 
 @checked()
 def logreg_report(spark: SparkSession, d: str) -> DataFrame:
-    make = lambda rows: models.logistic_regression(rows.count(), 100)
+    make = lambda rows: models.logistic_regression(rows.count())
     return flows.model_run(_pitches(spark, d), KEY, LABEL, flows.counted_blocks(GROUPS), make).report
 
 
@@ -108,7 +108,7 @@ def mlp_report(spark: SparkSession, d: str) -> DataFrame:
     """Columns sorted by statistics, two hidden layers, plain random split."""
     df = _pitches(spark, d).drop("on_1b", "on_2b", "on_3b")
     blocks = flows.role_blocks(df, LABEL, [KEY, "pitcher"])
-    return flows.model_run(df, KEY, LABEL, blocks, flows.perceptron_maker(iterations=60), stratified=False).report
+    return flows.model_run(df, KEY, LABEL, blocks, flows.perceptron_maker(), stratified=False).report
 
 
 @checked()
@@ -119,7 +119,7 @@ def two_stage_models(spark: SparkSession, d: str) -> DataFrame:
     )
     train, test = sides(stratified_split(df, KEY, LABEL))
     model = models.fit_two_stage(
-        train, LABEL, "hit_location", "foul", Preparer(flows.counted_blocks(GROUPS)), _forest(20, 8)
+        train, LABEL, "hit_location", "foul", Preparer(flows.counted_blocks(GROUPS)), _forest()
     )
     out = model.predict(test)
     return out.groupBy(LABEL, "predicted_type", "predicted_place").agg(F.count("*").alias("n"))
@@ -198,8 +198,8 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     train, test = sides(stratified_split(_pitches(spark, d), KEY, LABEL))
     makers = {
         "random_forest": _forest(),
-        "extra_trees": lambda _: models.extra_trees(10, 6),
-        "logistic_regression": lambda rows: models.logistic_regression(rows.count(), 50),
+        "extra_trees": lambda _: models.extra_trees(),
+        "logistic_regression": lambda rows: models.logistic_regression(rows.count()),
         "boosted_trees": lambda _: models.boosted_trees(rounds=3, depth=3),
     }
     return select.compare_models(train, test, LABEL, Preparer(flows.counted_blocks(GROUPS)), makers)
