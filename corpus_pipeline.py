@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm import decontamination, mixing, sharding, simhash, toxicity
+from tabloom.llm.common import reach_workers
 from tabloom.session import ensure_checkpoint_dir
 
 SHARDS = 16
@@ -14,16 +15,19 @@ SHARDS = 16
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it is fitted on the labelled documents of its input."""
+    reach_workers(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
+    reach_workers(spark)
     return simhash.keep_one(docs, shingle=4, radius=4)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    reach_workers(spark)
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

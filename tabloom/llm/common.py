@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever their working folder.
+
+    On a cluster the package is installed, or at the same path, on every machine.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join([root, known] if known else [root])
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; a missing text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -43,4 +56,4 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-__all__ = ["WORD", "durable", "is_empty", "row_key", "table", "word_count"]
+__all__ = ["WORD", "durable", "is_empty", "reach_workers", "row_key", "table", "word_count"]

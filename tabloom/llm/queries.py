@@ -19,7 +19,7 @@ from tabloom.llm import (
     toxicity,
     warc,
 )
-from tabloom.llm.common import durable, table
+from tabloom.llm.common import durable, reach_workers, table
 from tabloom.session import ensure_checkpoint_dir
 
 
@@ -113,8 +113,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _reaching(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reach_workers(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def registered() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: _reaching(f) for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def _mixing_sql() -> str:
