@@ -28,7 +28,7 @@ PREFIXES = (3, 7)
 #: Share of the toxic documents in the weight of all sampled ones.
 TOXIC_WEIGHT = 0.2
 #: Expected severity from which a document counts as toxic.
-TOXIC_FROM = 0.3
+TOXIC_FROM = 0.5
 #: Words whose features a task remembers.
 WORDS_HELD = 500_000
 #: Thresholds of a model without features, which calls nothing toxic.
