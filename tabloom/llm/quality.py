@@ -8,21 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.hashing import hash_text
 from tabloom.llm.common import WORD, durable
 
 #: Hash buckets of the two multinomials.
 BUCKETS = 32_768
 #: Words in a window of the repetition count.
 WINDOW = 8
-#: Labelled trusted documents that shape the target, at most.
-TRUSTED = 20_000
 #: N-grams of a neutral text that every score is diluted with, so that short texts are judged mildly.
 PRIOR_GRAMS = 40
 #: Pseudo-counts spread like the raw corpus over the target's buckets.
 SMOOTHING = 50_000.0
 #: Log ratios are kept as whole numbers of this fraction, so sums do not depend on their order.
 UNIT = 1_000
+#: Trusted scores are counted in steps of this fraction.
+SCORE_UNIT = 10_000
 #: A document is kept down to so many spreads below the trusted median.
 SPREADS = 6.0
 _SYMBOLS = "#*$%&|<>"
@@ -85,15 +84,40 @@ def grams(hashes: Column, buckets: int = BUCKETS) -> Column:
 
 def bucket_counts(docs: DataFrame) -> DataFrame:
     """(bucket, n) over all n-grams of (text); buckets bound the result, counts are summed before the shuffle."""
+    return _counts(_hashed(docs), grams(F.col("__h")))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    hashed = docs.select(F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.select(F.explode(grams(F.col("h"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    return docs.select(F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
+
+
+def _counts(frame: DataFrame, found: Column) -> DataFrame:
+    return frame.select(F.explode(found).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """Ids of trusted documents (quality 1), ``most`` of them in hash order."""
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(hash_text("doc_id", 3), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all trusted documents (quality 1)."""
+    return labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+
+
+def trusted_grams(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(grams) of every trusted document.
+
+    The ids grow with the corpus, so rows meet by shuffle at every size; the ids are the hashed side.
+    """
+    ids = trusted_ids(labels).hint("shuffle_hash")
+    return _hashed(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).select(grams(F.col("__h")).alias("grams"))
+
+
+def score_floor(scores: DataFrame) -> float | None:
+    """A number of spreads below the median of the scores in ``s``, or None without scores.
+
+    Scores are counted in small steps, so what one task sees is bounded by their range.
+    """
+    steps = scores.groupBy(F.round(F.col("s") * SCORE_UNIT).cast("bigint").alias("step")).agg(F.count("*").alias("n"))
+    middle, low = steps.agg(F.percentile("step", 0.5, F.col("n")), F.percentile("step", 0.01, F.col("n"))).first()
+    return None if middle is None else (middle - SPREADS * (middle - low) / 2.33) / SCORE_UNIT
 
 
 def log_ratios(target: DataFrame, raw: DataFrame, buckets: int = BUCKETS) -> list[int]:
@@ -113,34 +137,34 @@ def log_ratios(target: DataFrame, raw: DataFrame, buckets: int = BUCKETS) -> lis
 
 def ratio_score(hashes: Column, weights: list[int]) -> Column:
     """Mean log ratio of a text's n-grams, together with the neutral prior ones."""
+    known = _known(weights)
+    return _let(grams(hashes), lambda g: _mean(g, known))
+
+
+def _known(weights: list[int]) -> Column:
     # one string, folded to an array when the query is planned
-    known = F.split(F.lit(" ".join(map(str, weights))), " ").cast("array<int>")
+    return F.split(F.lit(" ".join(map(str, weights))), " ").cast("array<int>")
 
-    def mean(g: Column) -> Column:
-        total = F.aggregate(g, F.lit(0).cast("bigint"), lambda a, b: a + F.get(known, b))
-        return total / (UNIT * (F.size(g) + PRIOR_GRAMS))
 
-    return _let(grams(hashes), mean)
+def _mean(g: Column, known: Column) -> Column:
+    total = F.aggregate(g, F.lit(0).cast("bigint"), lambda a, b: a + F.get(known, b))
+    return total / (UNIT * (F.size(g) + PRIOR_GRAMS))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All rows of docs with base counts, ``base_failed``, ``score`` and ``kept``.
 
     The raw multinomial counts every n-gram of the corpus; the target one those
-    of trusted documents, a bounded sample of the labelled rows. The threshold
-    is the median of the trusted scores less a number of spreads (median to
-    first percentile over 2.33), so it is the same for every run and every
-    document. Without trusted documents only the base rules decide.
+    of every trusted document. The threshold is the median of all trusted scores
+    less a number of spreads (median to first percentile over 2.33), so it is
+    the same for every run and every document; for it, scores are rounded. Without trusted documents only the base rules decide.
     """
-    ids = durable(trusted_ids(labels))
-    trusted = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    trusted = durable(trusted)
-    weights = log_ratios(bucket_counts(trusted), bucket_counts(docs.select("text")))
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    hashed = trusted.select(F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
-    scores = hashed.filter(F.size("__h") >= 20).select(ratio_score(F.col("__h"), weights).alias("s"))
-    middle, low = scores.agg(F.percentile("s", 0.5), F.percentile("s", 0.01)).first()
-    floor = None if middle is None else middle - SPREADS * (middle - low) / 2.33
+    trusted = durable(trusted_grams(docs, labels))
+    weights = log_ratios(_counts(trusted, F.col("grams")), bucket_counts(docs.select("text")))
+    # texts of 20 words and more; words and pairs together are twice the words less one
+    known = _known(weights)
+    scores = trusted.filter(F.size("grams") >= 39).select(_mean(F.col("grams"), known).alias("s"))
+    floor = score_floor(scores)
     counted = base_counts(docs)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     verdict = F.lit(True) if floor is None else F.col("score") >= F.lit(floor)

@@ -87,3 +87,20 @@ def test_empty_tables(spark):
     assert quality.judged(docs.limit(0), labels).count() == 0
     rows = quality.judged(docs, labels.limit(0)).collect()  # no trusted documents: base rules only
     assert all(r.kept != r.base_failed for r in rows)
+
+
+def test_every_trusted_document_counts(spark):
+    n = 21_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', id % 3, ' '), 20)").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality.trusted_ids(labels.union(labels)).count() == n
+    grams = quality.trusted_grams(docs, labels.union(labels.filter("doc_id < 9")))
+    assert grams.count() == n and {r["n"] for r in quality._counts(grams, F.col("grams")).collect()} == {20 * n // 3, 19 * n // 3}
+
+
+def test_floor_against_exact_percentiles(spark):
+    rnd = random.Random(5)
+    frame = spark.createDataFrame([(rnd.gauss(0.4, 0.2),) for _ in range(3_000)], "s double")
+    middle, low = frame.agg(F.percentile("s", 0.5), F.percentile("s", 0.01)).first()
+    assert abs(quality.score_floor(frame) - (middle - quality.SPREADS * (middle - low) / 2.33)) < 1e-3
+    assert quality.score_floor(frame.limit(0)) is None
