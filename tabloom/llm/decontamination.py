@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: Fixed masks over token positions; a zero is a position that may differ.
 MASKS = ("1110110111", "1101011011", "11011100101", "10110101111")
-#: Masks for items shorter than those above.
+#: Items of so many tokens or fewer, in which few replaced tokens break all of those masks, are searched for with shorter ones too.
+SHORT_ITEM = 20
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
 #: A leak has so many matching tokens, or this share of a shorter item's.
 LEAST_TOKENS = 13
@@ -52,12 +53,11 @@ def build(items: list[tuple[int | None, str | None]]) -> Index:
         if len(ids) >= SHORTEST:
             coded.append((item, np.array(ids, dtype=np.uint64)))
     masks = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in (*MASKS, *SHORT_MASKS)]
-    longest = max(len(m) for m in MASKS)
     keys, tables = [], []
     for k, m in enumerate(masks):
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, (_, ids) in enumerate(coded):
-            if k >= len(MASKS) and len(ids) >= longest:
+            if k >= len(MASKS) and len(ids) > SHORT_ITEM:
                 continue
             for offset, key in enumerate(_seeds(ids, m).tolist()):
                 found[key].append((at, offset))

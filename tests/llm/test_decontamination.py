@@ -80,3 +80,20 @@ def test_blocks_and_stage(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {r[0] for r in whole}
     assert d.contaminated(df.limit(0), bench).count() == 0
     assert d.without_leaks(df, bench.limit(0)).count() == len(docs)
+
+
+def test_masks_find_short_items_with_replaced_tokens():
+    from itertools import combinations
+
+    import numpy as np
+
+    for size in range(5, 18):
+        item = [f"t{i}" for i in range(size)]
+        index = d.build([(1, " ".join(item))])
+        least = min(13, -(-size * 4 // 5))
+        for gone in combinations(range(size), size - least):
+            same = np.array([i not in gone for i in range(size)])
+            a, b = d._stretch(same)
+            if same[a:b].sum() >= max(least, 0.8 * (b - a)):
+                words = ["x"] * 5 + [w if s else "z" for w, s in zip(item, same)] + ["y"] * 5
+                assert d.leaks(" ".join(words), index), (size, gone)
