@@ -36,8 +36,8 @@ def word_count(text: Column) -> Column:
 
 
 def row_key(*columns: Column) -> list[Column]:
-    """128 bits that stand for the values of a row; equal rows have equal keys, nulls count as values."""
-    marked = [F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]
+    """128 bits that stand for the values of a row; equal rows have equal keys, and a null differs from any text."""
+    marked = [x for c in columns for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))]
     return [F.xxhash64(*marked).alias("__k1"), F.xxhash64(F.lit("2"), *marked).alias("__k2")]
 
 
