@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import (
     decontamination,
+    licenses,
     line_dedup,
     mixing,
     quality,
@@ -113,6 +114,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def _reaching(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         reach_workers(spark)
@@ -228,5 +237,40 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
 FROM f"""
 
 
+def _licenses_sql() -> str:
+    def listed(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    phrases = ", ".join(f"({listed(licenses.template_words(p))}, '{label}')" for p, label in licenses.PHRASES)
+    templates = [(label, licenses.template_words(t)) for label, t in licenses.TEMPLATES]
+    rows = ", ".join(f"('{label}', {licenses.step_of(len(w))}, {listed(sorted(set(w)))})" for label, w in templates)
+    return rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+p(w, label) AS (VALUES {phrases}),
+m(label, step, w) AS (VALUES {rows}),
+spots AS (SELECT rid, ws, unnest(range(len(ws))) AS pos FROM t),
+places AS (SELECT rid, pos, label FROM spots JOIN p ON ws[pos + 1] = p.w[1] AND ws[pos + 1:pos + len(p.w)] = p.w),
+base AS (
+  SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels
+  FROM places GROUP BY rid),
+steps AS (SELECT DISTINCT step FROM m),
+b AS (
+  SELECT rid, step, list_distinct(ws[k * step + 1:k * step + 2 * step]) AS held FROM (
+    SELECT rid, ws, step, unnest(range(greatest(CAST(ceil(len(ws) / step) AS BIGINT) - 2, 0) + 1)) AS k FROM t, steps)),
+o AS (SELECT rid, m.label, len(list_intersect(held, m.w)) AS overlap, len(m.w) AS words FROM b JOIN m ON b.step = m.step),
+more AS (
+  SELECT rid, list(DISTINCT label) AS labels, max(CAST(overlap AS DOUBLE) / words) AS score
+  FROM o WHERE overlap * 100 >= {licenses.THRESHOLD} * words GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+       first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       coalesce(score, 0.0E0) AS score
+FROM t LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)"""
+
+
 #: The others hash with XXH64, fit a model, use a tokenizer or iterate; tests/llm holds them against brute force.
-SQL: dict[str, str] = {"op2_mixing": _mixing_sql(), "op3_line_dedup": _lines_sql(), "op5_secrets": _secrets_sql(), "op6_warc": _WARC_SQL}
+SQL: dict[str, str] = {"op2_mixing": _mixing_sql(), "op3_line_dedup": _lines_sql(), "op5_secrets": _secrets_sql(), "op6_warc": _WARC_SQL, "op11_licenses": _licenses_sql()}
