@@ -41,19 +41,31 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*marked).alias("__k1"), F.xxhash64(F.lit("2"), *marked).alias("__k2")]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The frame as a table written to the shared checkpoint folder.
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a table written to the shared checkpoint folder, and the table's path.
 
     The copy outlives executors. Unlike a checkpoint it carries no plan facts from
     round to round, which would make planning slower with every iteration.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A stored frame that stays until the shared folder is cleared."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-__all__ = ["WORD", "durable", "is_empty", "reach_workers", "row_key", "table", "word_count"]
+__all__ = ["WORD", "discard", "durable", "is_empty", "reach_workers", "row_key", "stored", "table", "word_count"]

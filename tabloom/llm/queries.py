@@ -18,6 +18,7 @@ from tabloom.llm import (
     simhash,
     token_counts,
     toxicity,
+    vector_codes,
     warc,
 )
 from tabloom.llm.common import durable, reach_workers, table
@@ -122,6 +123,15 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c.cast("bigint"))), 2, "0"))
+    return coded.select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"),
+    )
+
+
 def _reaching(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         reach_workers(spark)
@@ -272,5 +282,46 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base
 FROM t LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)"""
 
 
+def _codes_sql() -> str:
+    """Every round spelled out: all distances as exact doubles, the nearest entry, then the means rounded down."""
+
+    def nearest(r: int) -> str:
+        key = f"CAST(x2 - 2 * list_inner_product(x, y) + y2 AS BIGINT) * {vector_codes.ENTRIES} + k"
+        return f"""
+a{r} AS MATERIALIZED (SELECT rid, x.p, x, min({key}) AS m FROM x JOIN c{r} c ON x.p = c.p GROUP BY rid, x.p, x)"""
+
+    def means(r: int) -> str:
+        return f"""
+u{r} AS (SELECT p, m % {vector_codes.ENTRIES} AS k, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{r}),
+v{r} AS (SELECT p, k, pos, floor(sum(v) / count(*)) AS v FROM u{r} GROUP BY 1, 2, 3),
+w{r} AS (SELECT p, k, list(v ORDER BY pos) AS y FROM v{r} GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (
+  SELECT p, k, y, list_inner_product(y, y) AS y2
+  FROM (SELECT c.p, c.k, coalesce(w.y, c.y) AS y FROM c{r} c LEFT JOIN w{r} w ON c.p = w.p AND c.k = w.k))"""
+
+    n = vector_codes.ROUNDS
+    rounds = ",".join(nearest(r) + "," + means(r) for r in range(n)) + "," + nearest(n)
+    return f"""
+WITH q AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda e: floor({vector_codes.SCALE} * CAST(e AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (
+  SELECT rid, p, x, list_inner_product(x, x) AS x2 FROM (
+    SELECT rid, p, v[p * len(v) // {vector_codes.PARTS} + 1:(p + 1) * len(v) // {vector_codes.PARTS}] AS x
+    FROM q, (SELECT unnest(range({vector_codes.PARTS})) AS p))),
+c0 AS (SELECT p, rid - 1 AS k, x AS y, x2 AS y2 FROM x WHERE rid <= {vector_codes.ENTRIES}),{rounds},
+done AS (
+  SELECT rid, string_agg(printf('%02x', m % {vector_codes.ENTRIES}), '' ORDER BY p) AS code,
+         CAST(sum(m // {vector_codes.ENTRIES}) AS BIGINT) AS error
+  FROM a{n} GROUP BY rid),
+books AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(y, lambda e: CAST(e AS BIGINT)), ','), ',' ORDER BY p, k)) AS codebooks_sha256
+  FROM c{n})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM q JOIN done USING (rid) CROSS JOIN books"""
+
+
 #: The others hash with XXH64, fit a model, use a tokenizer or iterate; tests/llm holds them against brute force.
-SQL: dict[str, str] = {"op2_mixing": _mixing_sql(), "op3_line_dedup": _lines_sql(), "op5_secrets": _secrets_sql(), "op6_warc": _WARC_SQL, "op11_licenses": _licenses_sql()}
+SQL: dict[str, str] = {"op2_mixing": _mixing_sql(), "op3_line_dedup": _lines_sql(), "op5_secrets": _secrets_sql(), "op6_warc": _WARC_SQL, "op11_licenses": _licenses_sql(), "op12_vector_codes": _codes_sql()}
