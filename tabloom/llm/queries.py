@@ -13,6 +13,7 @@ from tabloom.llm import (
     line_dedup,
     mixing,
     quality,
+    ranked_search,
     secrets,
     sharding,
     simhash,
@@ -132,6 +133,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
 def _reaching(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         reach_workers(spark)
@@ -323,5 +329,34 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM q JOIN done USING (rid) CROSS JOIN books"""
 
 
+_SEARCH_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT rid, doc_id, ws, CAST(len(ws) AS BIGINT) AS n FROM (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM documents)
+  WHERE len(ws) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+tf AS MATERIALIZED (SELECT rid, w, count(*) AS tf FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY 1, 2),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
+i AS (SELECT row_number() OVER () AS qid, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (
+  SELECT qid, w, count(*) AS times FROM (
+    SELECT qid, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM i)
+  GROUP BY 1, 2),
+g AS (
+  SELECT qid, w, times * CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM q JOIN df USING (w) CROSS JOIN c),
+s AS (
+  SELECT qid, rid, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+  FROM g JOIN tf USING (w) JOIN d USING (rid) CROSS JOIN c GROUP BY 1, 2),
+r AS (
+  SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM s JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (qid) WHERE rank <= 20"""
+
+
 #: The others hash with XXH64, fit a model, use a tokenizer or iterate; tests/llm holds them against brute force.
-SQL: dict[str, str] = {"op2_mixing": _mixing_sql(), "op3_line_dedup": _lines_sql(), "op5_secrets": _secrets_sql(), "op6_warc": _WARC_SQL, "op11_licenses": _licenses_sql(), "op12_vector_codes": _codes_sql()}
+SQL: dict[str, str] = {"op2_mixing": _mixing_sql(), "op3_line_dedup": _lines_sql(), "op5_secrets": _secrets_sql(), "op6_warc": _WARC_SQL, "op11_licenses": _licenses_sql(), "op12_vector_codes": _codes_sql(), "op13_ranked_search": _SEARCH_SQL}
