@@ -1,27 +1,29 @@
 import random
+import time
+from itertools import combinations
+
+import numpy as np
 
 from tabloom.llm import decontamination as d
 
 
+def _window(same, need):
+    """Whether any window has so many matches that make up four fifths of it."""
+    sums = [0]
+    for x in same:
+        sums.append(sums[-1] + x)
+    return any(sums[j] - sums[i] >= max(need, 0.8 * (j - i)) for i in range(len(same)) for j in range(i + need, len(same) + 1))
+
+
 def _brute(text, items):
-    """Items of which a stretch on some diagonal has enough matching tokens at the stated share."""
+    """Items of which any window on some diagonal has enough matching tokens at the stated share."""
     words, found = d.tokens_of(text), set()
     for item, t in items:
         want = d.tokens_of(t)
-        if len(want) < d.SHORTEST:
-            continue
         need = min(d.LEAST_TOKENS, -(-len(want) * 4 // 5))
         for shift in range(-len(want) + 1, len(words)):
             same = [0 <= i + shift < len(words) and words[i + shift] == want[i] for i in range(len(want))]
-            best, start, total, at = (0, 0, 0), 0, 0, 0
-            for i, s in enumerate(same):
-                total += 1 if s else -2
-                if total <= 0:
-                    total, at = 0, i + 1
-                elif total > best[0]:
-                    best = (total, at, i + 1)
-            n = sum(same[best[1] : best[2]])
-            if n >= need and n >= d.SHARE * (best[2] - best[1]):
+            if want and sum(same) >= need and _window(same, need):
                 found.add(item)
     return found
 
@@ -82,18 +84,60 @@ def test_blocks_and_stage(spark, monkeypatch):
     assert d.without_leaks(df, bench.limit(0)).count() == len(docs)
 
 
-def test_masks_find_short_items_with_replaced_tokens():
-    from itertools import combinations
+def test_window_against_all_windows():
+    rnd = random.Random(1)
+    for _ in range(3000):
+        same = [rnd.random() < 0.8 for _ in range(rnd.randint(1, 40))]
+        need = rnd.randint(1, 14)
+        windows = [
+            (sum(same[i:j]), -i, j) for i in range(len(same)) for j in range(i + 1, len(same) + 1)
+            if same[i] and same[j - 1] and sum(same[i:j]) >= need and 5 * sum(same[i:j]) >= 4 * (j - i)
+        ]
+        got = d.window_of(np.array(same), need)
+        if not windows:
+            assert got is None
+        else:
+            n, begin, end = got
+            assert (n, -begin, end) in windows and n == max(windows)[0]
+
+
+def test_short_items_with_any_tokens_replaced_that_the_rule_accepts():
+    for size in range(1, 18):
+        item = [f"t{i}" for i in range(size)]
+        index = d.build([(1, " ".join(item))])
+        for gone in combinations(range(size), size - d.needed(size)):
+            same = [i not in gone for i in range(size)]
+            words = ["x"] * 5 + [w if s else "z" for w, s in zip(item, same)] + ["y"] * 5
+            assert bool(d.leaks(" ".join(words), index)) == _window(same, d.needed(size)), (size, gone)
 
-    import numpy as np
 
-    for size in range(5, 18):
+def test_recall_of_longer_items():
+    rnd = random.Random(2)
+    for size in range(18, 31):
         item = [f"t{i}" for i in range(size)]
         index = d.build([(1, " ".join(item))])
-        least = min(13, -(-size * 4 // 5))
-        for gone in combinations(range(size), size - least):
-            same = np.array([i not in gone for i in range(size)])
-            a, b = d._stretch(same)
-            if same[a:b].sum() >= max(least, 0.8 * (b - a)):
-                words = ["x"] * 5 + [w if s else "z" for w, s in zip(item, same)] + ["y"] * 5
-                assert d.leaks(" ".join(words), index), (size, gone)
+        for gone in range(1, 7):
+            held = [sorted(rnd.sample(range(size), gone)) for _ in range(300)]
+            cases = [[i not in g for i in range(size)] for g in held]
+            cases = [c for c in cases if _window(c, d.needed(size))]
+            found = sum(bool(d.leaks(" ".join(w if s else "z" for w, s in zip(item, c)), index)) for c in cases)
+            assert found >= 0.95 * len(cases), (size, gone, found, len(cases))
+
+
+def test_one_token_many_times():
+    index = d.build([(i, "same " * 60) for i in range(20)])
+    began = time.monotonic()
+    assert [x[:3] for x in d.leaks("same " * 5_000, index)] == [(i, 60, 60) for i in range(20)]
+    assert len(d.leaks("same " * 5_000 + "more " * 9, d.build([(i, "same " * (60 + i)) for i in range(20)]))) == 20
+    assert d.leaks("same " * 12 + "other", index) == []
+    assert time.monotonic() - began < 20
+
+
+def test_tiny_items_repeated_rows_and_null_ids(spark):
+    items = [(1, "ab"), (2, "AB, cd"), (3, "ab cd ef"), (4, "ab cd ef gh"), (None, "zz"), (5, ""), (6, None), (6, "zz"), (6, "zz")]
+    docs = [(1, "x ab cd ef gh"), (2, "xab"), (2, "cd ef gh"), (3, "ab"), (3, "ab"), (None, "zz"), (4, None), (5, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in d.contaminated(df, bench).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (3, 1), (None, None), (None, 6)], key=str)
+    assert sorted(r.doc_id for r in d.without_leaks(df, bench).collect()) == [2, 2, 4, 5]
