@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import durable, is_empty
+from tabloom.llm.common import discard, durable, is_empty, stored
 
 #: A group is moved in units of at most this share of a shard.
 UNITS_PER_SHARD = 4
@@ -53,14 +53,17 @@ def propagate(blocks: DataFrame, group: list[str], shards: int, quota: int) -> D
     documents of its group by shard and aims at the fullest that has room for it.
     Arrivals at a shard are admitted by hash cells until its quota is used by
     whole units; those turned away look again in the next round, when a full
-    shard is no longer an aim. It ends when nothing can move.
+    shard is no longer an aim. It ends when nothing can move, which it must come
+    to: every round fills a shard or moves units, a move makes a unit whole or
+    takes it to a shard with more of its group, and so the group's counts, from
+    the largest down, only grow.
     """
     spark = blocks.sparkSession
-    blocks = durable(blocks.withColumn("shard", F.col("start")))
+    blocks, path = stored(blocks.withColumn("shard", F.col("start")))
     unit = [*group, "unit"]
     full: set[int] = set()
-    for _ in range(3 * shards):
-        units = durable(
+    while True:
+        units, units_path = stored(
             blocks.groupBy(*unit, "shard")
             .agg(F.sum("n").alias("n"))
             .groupBy(*unit)
@@ -84,19 +87,23 @@ def propagate(blocks: DataFrame, group: list[str], shards: int, quota: int) -> D
             .select(*unit, F.col("best.aim").alias("aim"), "size")
             .withColumn("cell", F.pmod(F.xxhash64(*unit), F.lit(ADMISSION_CELLS)).cast("int"))
         )
-        aims = durable(aims)
+        aims, aims_path = stored(aims)
+        discard(spark, units_path)
         if is_empty(aims):
-            break
+            discard(spark, aims_path)
+            return blocks
         until = _admitted(aims, room)
         # a shard that nothing aimed at it fits counts as full, so every round makes progress
         full |= {s for s, cell in until.items() if cell is None}
         admitted = [(s, cell) for s, cell in until.items() if cell is not None]
         if not admitted:
+            discard(spark, aims_path)
             continue
         admitted = spark.createDataFrame(admitted, "aim int, until int")
         moved = aims.join(F.broadcast(admitted), "aim").filter("cell <= until").select(*unit, "aim")
-        blocks = durable(blocks.join(moved, unit, "left").withColumn("shard", F.coalesce("aim", "shard")).drop("aim"))
-    return blocks
+        moved_blocks, moved_path = stored(blocks.join(moved, unit, "left").withColumn("shard", F.coalesce("aim", "shard")).drop("aim"))
+        discard(spark, path, aims_path)
+        blocks, path = moved_blocks, moved_path
 
 
 def _votes(shard: Column) -> Column:
