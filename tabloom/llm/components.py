@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import durable, is_empty
+from tabloom.llm.common import discard, is_empty, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,19 +16,24 @@ def components(links: DataFrame) -> DataFrame:
     of rounds is logarithmic. A node with very many links is met by partial
     aggregates and by joins whose large partitions can be split.
     """
-    links = durable(
+    spark = links.sparkSession
+    links, links_path = stored(
         links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
-    labels = links.select(F.col("hi").alias("node")).union(links.select("lo")).distinct().withColumn("root", F.col("node"))
+    nodes = links.select(F.col("hi").alias("node")).union(links.select("lo")).distinct()
+    labels, labels_path = stored(nodes.withColumn("root", F.col("node")))
     while not is_empty(links):
-        hooks = _flat(durable(links.groupBy("hi").agg(F.min("lo").alias("up"))))
-        labels = durable(_moved(labels, "root", hooks))
-        links = durable(
+        hooks, hooks_path = _flat(*stored(links.groupBy("hi").agg(F.min("lo").alias("up"))))
+        new_labels, new_labels_path = stored(_moved(labels, "root", hooks))
+        new_links, new_links_path = stored(
             _moved(_moved(links, "hi", hooks), "lo", hooks)
             .filter("hi <> lo")
             .select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
             .distinct()
         )
+        discard(spark, links_path, labels_path, hooks_path)
+        links, links_path, labels, labels_path = new_links, new_links_path, new_labels, new_labels_path
+    discard(spark, links_path)
     return labels
 
 
@@ -39,15 +44,16 @@ def _moved(df: DataFrame, column: str, hooks: DataFrame) -> DataFrame:
     return out.withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
 
 
-def _flat(hooks: DataFrame) -> DataFrame:
+def _flat(hooks: DataFrame, path: str) -> tuple[DataFrame, str]:
     """Follow hooks until each points at a node that is not hooked itself."""
     while True:
         up = hooks.select(F.col("hi").alias("__from"), F.col("up").alias("__to"))
-        nxt = durable(
+        nxt, nxt_path = stored(
             hooks.join(up, F.col("up") == F.col("__from"), "left").select(
                 "hi", F.coalesce("__to", "up").alias("up"), F.col("__to").isNotNull().alias("moved")
             )
         )
-        hooks = nxt.select("hi", "up")
+        discard(hooks.sparkSession, path)
+        hooks, path = nxt.select("hi", "up"), nxt_path
         if is_empty(nxt.filter("moved")):
-            return hooks
+            return hooks, path
