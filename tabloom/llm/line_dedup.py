@@ -26,7 +26,7 @@ def without_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows of docs with repeated passages taken out of ``text``, and ``n_lines``, ``n_removed``.
 
     Windows are counted over the whole corpus. The first occurrence of a window,
-    by document id (nulls last) and place, stays; every later one covers its
+    by document id (nulls last), MD5 of the text and place, stays; every later one covers its
     lines, and all covered lines go. So a passage of at least three lines stays
     once, in its first document. Texts of fewer lines and windows without a word
     are left alone; a missing text stays missing. Rows equal in id and text count
@@ -36,8 +36,9 @@ def without_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     order = F.struct(
-        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2")
-    )
+        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.col("__text").cast("binary"))).alias("md5"),
+        F.col("__k1").alias("k1"), F.col("__k2").alias("k2"),
+    )
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__d"),
         F.col("text").alias("__text"),

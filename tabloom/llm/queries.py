@@ -224,14 +224,14 @@ def _lines_sql() -> str:
     return r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 l AS (
-  SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT rid, doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM t),
 w AS (
-  SELECT rid, doc_id, pos, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS whole
+  SELECT rid, doc_id, text, pos, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS whole
   FROM l WINDOW o AS (PARTITION BY rid ORDER BY pos)),
 n AS (
-  SELECT rid, pos, row_number() OVER (PARTITION BY whole ORDER BY doc_id NULLS LAST, pos) AS nth
+  SELECT rid, pos, dense_rank() OVER (PARTITION BY whole ORDER BY doc_id NULLS LAST, md5(text), pos) AS nth
   FROM w WHERE regexp_matches(whole, '[^\x20\x09-\x0D]')),
 gone AS (SELECT DISTINCT rid, pos + k AS pos FROM n CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
 r AS (

@@ -1,9 +1,10 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tabloom.llm import line_dedup, secrets
+from tabloom.llm import line_dedup, queries, secrets
 
 
 def _brute_lines(rows, w=3):
@@ -38,6 +39,19 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.without_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_lines_query_and_its_sql_agree_on_repeated_rows(spark, tmp_path):
+    rnd = random.Random(8)
+    text = lambda: "\n".join(rnd.choice(["a", "b", "c"]) for _ in range(rnd.randint(0, 7)))
+    rows = [(rnd.choice([1, 2, 3, 4, None]), text()) for _ in range(60)] + [(None, None), (1, None), (1, "\x00")]
+    rows += rnd.sample(rows, 25)
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, text, n_lines, n_removed FROM ({queries.SQL['op3_line_dedup']})").fetchall()
+    got = [tuple(r) for r in queries.op3_line_dedup(spark, str(tmp_path)).select("doc_id", "text", "n_lines", "n_removed").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_lines_of_repeated_rows_and_null_ids(spark):
     text = "a\nb\nc"
     df = spark.createDataFrame([(None, text), (None, text), (5, text), (5, text)], "doc_id bigint, text string")
