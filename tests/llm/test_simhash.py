@@ -100,3 +100,8 @@ def test_keep_one_over_odd_rows(spark):
     assert got == sorted([rows[1], rows[4], rows[6]], key=str)
     assert simhash.keep_one(df).columns == df.columns
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_tells_a_missing_text_from_a_nul(spark):
+    df = spark.createDataFrame([(1, None), (1, "\x00"), (None, "\x00")], "doc_id bigint, text string")
+    assert sorted(simhash.keep_one(df).collect(), key=str) == sorted([(1, None), (1, "\x00")], key=str)

@@ -45,3 +45,10 @@ def test_pre_tokens_of_every_character():
     every = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) != "Cs"]
     texts = [f"a{c}1{c}!" for c in every]
     assert [t for t in texts if len(own.pre_tokenize_str(t)) != len(split(t)[0])] == []
+
+
+def test_missing_text_differs_from_a_nul(spark):
+    texts = [None, "\x00", None, "", "\x00\x00"]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id bigint, text string")
+    got = sorted((r.text is None, r.text or "", r.n_tokens) for r in token_counts.count_tokens(df.withColumn("t", df.text), PATH).selectExpr("t as text", "n_tokens").collect())
+    assert got == sorted((t is None, t or "", n) for t, n in zip(texts, _library(texts)))
