@@ -143,16 +143,6 @@ def model_run(
     return _finish(models.fit(train, label, Preparer(blocks), make), test, label, df.sparkSession)
 
 
-def perceptron_maker(hidden: Sequence[int] = (64, 32), iterations: int = 500, seed: int = 42) -> Callable:
-    """Layers sized from the prepared rows."""
-
-    def make(rows: DataFrame):
-        classes = rows.schema[models.LABEL].metadata["ml_attr"]["vals"]
-        return models.perceptron(len(feature_names(rows)), len(classes), hidden, iterations, seed)
-
-    return make
-
-
 def searched_run(
     df: DataFrame,
     key: str,

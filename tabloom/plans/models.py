@@ -6,28 +6,20 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.prepare import Preparer
 from tabloom.operators.sample import with_class_weights
-from tabloom.session import ensure_checkpoint_dir, kept_spread
+from tabloom.plans.ensembles import Boosting, Forest
+from tabloom.plans.network import Perceptron
+from tabloom.session import kept_spread
 
 LABEL, WEIGHT, PREDICTED = "label_index", "class_weight", "predicted"
 
 
-#: The deepest tree that Spark grows.
-DEEPEST = 30
-
-
 def random_forest(
     trees: int = 100,
     depth: int | None = None,
@@ -36,34 +28,20 @@ def random_forest(
     weighted: bool = False,
     bins: int = 32,
     split: int = 2,
-    **more,
-):
-    """Random forest. ``depth`` None grows as deep as Spark can, which is 30 levels.
+) -> Forest:
+    """Random forest. ``depth`` None grows nodes until they are pure or smaller than ``split``.
 
-    ``bins`` is the number of split candidates of a continuous feature. Deeper
-    trees and a minimum split size (``split`` over 2) do not exist here and are refused.
+    ``bins`` is the number of split candidates of a feature of more values.
     """
-    if depth is not None and depth > DEEPEST:
-        raise ValueError(f"trees grow to depth {DEEPEST} at most")
-    if split > 2:
-        raise ValueError("there is no minimum split size; use a minimum leaf size")
-    forest = RandomForestClassifier(
-        labelCol=LABEL,
-        numTrees=trees,
-        maxDepth=DEEPEST if depth is None else depth,
-        maxBins=bins,
-        minInstancesPerNode=leaf,
-        featureSubsetStrategy="sqrt",
-        seed=seed,
-        cacheNodeIds=True,
-        **more,
-    )
-    return forest.setWeightCol(WEIGHT) if weighted else forest
-
-
-def extra_trees(trees: int = 100, depth: int | None = None, seed: int = 42, **more):
-    """Every tree sees all rows. Split points are searched, not drawn, unlike extremely randomised trees."""
-    return random_forest(trees, depth, seed=seed, bootstrap=False, **more)
+    return Forest(trees, depth, split, leaf, bins=bins, seed=seed, label=LABEL, weight=WEIGHT if weighted else None)
+
+
+def extra_trees(
+    trees: int = 100, depth: int | None = None, leaf: int = 1, seed: int = 42, weighted: bool = False, bins: int = 255, split: int = 2
+) -> Forest:
+    """Every tree sees all rows; a node draws one threshold for each feature it looks at and takes the best."""
+    weight = WEIGHT if weighted else None
+    return Forest(trees, depth, split, leaf, drawn=True, bootstrap=False, bins=bins, seed=seed, label=LABEL, weight=weight)
 
 
 def logistic_regression(rows: int, iterations: int = 1000):
@@ -71,17 +49,14 @@ def logistic_regression(rows: int, iterations: int = 1000):
     return LogisticRegression(labelCol=LABEL, family="multinomial", maxIter=iterations, regParam=1.0 / max(rows, 1))
 
 
-def boosted_trees(rounds: int = 100, depth: int = 5, step: float = 0.1, seed: int = 42):
-    """One boosted model per class against the rest."""
-    one = GBTClassifier(labelCol=LABEL, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-    return OneVsRest(classifier=one, labelCol=LABEL)
+def boosted_trees(rounds: int = 100, depth: int = 3, step: float = 0.1, leaf: int = 1, bins: int = 32) -> Boosting:
+    """One boosted model of all classes on the softmax loss."""
+    return Boosting(rounds, depth, step, leaf, bins, LABEL)
 
 
-def perceptron(inputs: int, classes: int, hidden: Sequence[int] = (64, 32), iterations: int = 500, seed: int = 42):
-    """Feed-forward network; hidden units are sigmoid and the solver l-bfgs."""
-    return MultilayerPerceptronClassifier(
-        labelCol=LABEL, layers=[inputs, *hidden, classes], maxIter=iterations, seed=seed
-    )
+def perceptron(hidden: Sequence[int] = (64, 32), iterations: int = 500, seed: int = 42, **more) -> Perceptron:
+    """Feed-forward network of rectified units, fitted by Adam in mini-batches for so many passes at most."""
+    return Perceptron(tuple(hidden), iterations, seed=seed, label=LABEL, **more)
 
 
 def label_counts(df: DataFrame, label: str) -> dict[str, int]:
@@ -161,7 +136,6 @@ def fit(
     elif weighted:
         ready = ready.withColumn(WEIGHT, balanced_weight(counts))
     kept = [c for c in (LABEL, WEIGHT, preparer.output) if c in ready.columns]
-    ensure_checkpoint_dir(train.sparkSession)  # deep forests cut the lineage of their node ids there
     rows = kept_spread(ready.select(*kept))
     try:
         fitted = classifier(rows).fit(rows)
