@@ -1,7 +1,9 @@
 """Cross validation, search, comparisons and feature selection.
 
-Loops run on the driver over folds and settings; rows stay in frames. One
-fold's prepared rows are kept at a time and shared by all settings tried on it.
+Loops run on the driver over folds and settings; rows stay in frames. A few folds
+are fitted at the same time, so that the small steps of one fill the cores that
+another leaves idle; a fold's prepared rows are shared by all settings tried on
+it and let go with it.
 """
 
 from __future__ import annotations
@@ -81,6 +83,12 @@ class PreparedSplit:
         self.test.unpersist()
 
 
+def _at_once(spark, run: Callable, items: Sequence, parallelism: int) -> list:
+    """Results of ``run`` over the items, in their order, some at the same time."""
+    with ThreadPool(max(1, parallelism)) as pool:
+        return pool.map(inheritable_thread_target(spark)(run), items, chunksize=1)
+
+
 def _fold_splits(folded: DataFrame, column: str, folds: int) -> Iterator[tuple[int, DataFrame, DataFrame]]:
     for i in range(folds):
         yield i, folded.filter(F.col(column) != i), folded.filter(F.col(column) == i)
@@ -96,18 +104,24 @@ def cross_validate(
     repeats: int = 1,
     metrics: Sequence[str] = METRICS,
     seed: int = 42,
+    parallelism: int = 4,
 ) -> DataFrame:
     """(metric, side, mean, std): metrics on the training and test sides of every fold of every repeat."""
     folded = durable(repeated_folds(df.filter(F.col(label).isNotNull()), key, label, folds, repeats, seed))
+
+    def run(fold: tuple[DataFrame, DataFrame]) -> dict[str, dict[str, float]]:
+        with PreparedSplit(*fold, label, preparer) as split:
+            model = make(split.train).fit(split.train)
+            sides = {"train": split.train, "test": split.test}
+            return {side: score(model, rows, len(split.classes), metrics) for side, rows in sides.items()}
+
+    splits = [(train, test) for r in range(repeats) for _, train, test in _fold_splits(folded, f"fold_{r}", folds)]
     got: dict[tuple[str, str], list[float]] = {}
-    for r in range(repeats):
-        for _, train, test in _fold_splits(folded, f"fold_{r}", folds):
-            with PreparedSplit(train, test, label, preparer) as split:
-                model = make(split.train).fit(split.train)
-                for side, rows in (("train", split.train), ("test", split.test)):
-                    for m, v in score(model, rows, len(split.classes), metrics).items():
-                        if v is not None:
-                            got.setdefault((m, side), []).append(float(v))
+    for scores in _at_once(df.sparkSession, run, splits, parallelism):
+        for side, values in scores.items():
+            for m, v in values.items():
+                if v is not None:
+                    got.setdefault((m, side), []).append(float(v))
     rows = [(m, s, statistics.fmean(v), statistics.pstdev(v), len(v)) for (m, s), v in got.items()]
     return df.sparkSession.createDataFrame(rows, "metric string, side string, mean double, std double, folds int")
 
@@ -150,8 +164,7 @@ def random_search(
                 scores[i].append(score(model, split.test, len(split.classes), [metric])[metric])
                 seconds[i] += time.perf_counter() - start
 
-            with ThreadPool(parallelism) as pool:
-                pool.map(inheritable_thread_target(df.sparkSession)(run), range(len(tried)))
+            _at_once(df.sparkSession, run, range(len(tried)), parallelism)
     means = [statistics.fmean(s) for s in scores]
     order = sorted(range(len(tried)), key=lambda i: (-means[i], i))
     rank = {i: n + 1 for n, i in enumerate(order)}
@@ -270,6 +283,7 @@ def recursive_elimination(
     step: int = 1,
     metric: str = "f1_weighted",
     seed: int = 42,
+    parallelism: int = 4,
 ) -> tuple[DataFrame, list[str]]:
     """Drop the weakest features round by round; keep the size that cross-validates best.
 
@@ -283,14 +297,21 @@ def recursive_elimination(
     rows = durable(folded)
     # the checkpointed copy keeps values, not slot names, which are held here
     slots, classes = list(range(len(names))), known.select(label).distinct().count()
-    by_size: dict[int, list[float]] = {}
-    for _, train, test in _fold_splits(rows, "fold", folds):
-        train, test = kept_spread(train), kept_spread(test)
+
+    def run(fold: tuple[DataFrame, DataFrame]) -> dict[int, float]:
+        train, test = (kept_spread(side) for side in fold)
+        got = {}
         for kept, model in _eliminate(train, slots, make, floor, step, preparer.output):
             seen = keep_slots(test, kept, preparer.output)
-            by_size.setdefault(len(kept), []).append(score(model, seen, classes, [metric])[metric])
+            got[len(kept)] = score(model, seen, classes, [metric])[metric]
         train.unpersist()
         test.unpersist()
+        return got
+
+    by_size: dict[int, list[float]] = {}
+    for got in _at_once(df.sparkSession, run, [(train, test) for _, train, test in _fold_splits(rows, "fold", folds)], parallelism):
+        for n, v in got.items():
+            by_size.setdefault(n, []).append(v)
     means = {n: statistics.fmean(v) for n, v in by_size.items()}
     best = min(means, key=lambda n: (-means[n], n))
     chosen = slots
