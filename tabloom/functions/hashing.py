@@ -35,11 +35,18 @@ def hash_cell(text: Column, digits: int) -> Column:
     return F.conv(F.substring(text, 1, digits), 16, 10).cast("bigint")
 
 
+def _is_low(buckets: int) -> bool:
+    """Whether the last seven hex digits alone decide: a power of two that divides 16 ** 7."""
+    return buckets & (buckets - 1) == 0 and buckets <= 1 << 28
+
+
 def md5_bucket(value: Column, buckets: int) -> Column:
     """md5 of the text, read as one number, modulo any count of buckets below 2^31."""
     if not 0 < buckets < 1 << 31:
         raise ValueError("buckets must be between 1 and 2^31 - 1")
     digest, rest = F.md5(value), F.lit(0).cast("bigint")
+    if _is_low(buckets):
+        return (F.conv(F.substring(digest, 26, 7), 16, 10).cast("bigint") % buckets).cast("int")
     # the remainder is folded through the 32 digits, 28 bits at a time
     for first, digits in ((1, 4), (5, 7), (12, 7), (19, 7), (26, 7)):
         part = F.conv(F.substring(digest, first, digits), 16, 10).cast("bigint")
@@ -51,6 +58,8 @@ def md5_bucket_sql(value: str, buckets: int) -> str:
     """``md5_bucket`` as an expression that fitted stages can keep."""
     if not 0 < buckets < 1 << 31:
         raise ValueError("buckets must be between 1 and 2^31 - 1")
+    if _is_low(buckets):
+        return f"(CAST(conv(substring(md5({value}), 26, 7), 16, 10) AS BIGINT) % {buckets}L)"
     rest = "0L"
     for first, digits in ((1, 4), (5, 7), (12, 7), (19, 7), (26, 7)):
         part = f"CAST(conv(substring(md5({value}), {first}, {digits}), 16, 10) AS BIGINT)"
