@@ -153,7 +153,12 @@ def mix(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken; documents without words are left out."""
+    """The mix itself: every document as often as it is taken; documents without words are left out.
+
+    A missing text has no words. Rows that share an id share the hash that decides,
+    and so are taken alike; rows of null id share one hash. Sources are told apart
+    by code point, null is one of them. All columns are passed on as they were.
+    """
     rows = durable(measured(docs).select("source", "size", "hash"))
     wide = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__d"), *[F.col(f"`{c}`") for c in ("doc_id", "source", "text")]

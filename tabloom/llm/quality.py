@@ -154,6 +154,9 @@ def _mean(g: Column, known: Column) -> Column:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All rows of docs with base counts, ``base_failed``, ``score`` and ``kept``.
 
+    A missing or empty text has no words and fails the base rules; rows that
+    repeat are judged alike and counted each; a score equal to the threshold is
+    kept. Columns of docs named like those added, or ``__h``, are replaced.
     The raw multinomial counts every n-gram of the corpus; the target one those
     of every trusted document. The threshold is the median of all trusted scores
     less a number of spreads (median to first percentile over 2.33), so it is

@@ -218,7 +218,9 @@ def sized(docs: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """All rows of docs with ``shard`` and ``slot``; equal texts are the links.
 
-    Null ids and repeated rows are rows like any other. An empty table stays empty.
+    Null ids and repeated rows are rows like any other; missing and empty texts
+    are linked to each other. Columns named ``shard`` or ``slot`` are replaced. An
+    empty table stays empty.
     """
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
     wide = sized(docs.select(*[F.col(f"`{c}`") for c in keep]))

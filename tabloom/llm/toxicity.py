@@ -75,7 +75,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE) -> M
     The labels say toxic or not; severity grades are made from them: 0 for a
     clean document, 1 to 3 for a toxic one by thirds of its share of telling
     words. Features are screened by Spark over the sample; the driver sees only
-    the sampled documents' counts of the features that were kept.
+    the sampled documents' counts of the features that were kept. So a grade is
+    made from the features themselves: it orders documents by how much of their
+    text tells, and is no second opinion on the labels. Rows of docs that share a
+    sampled id count as one document, whose features add up.
     """
     picked = docs.select("doc_id", "text").join(F.broadcast(durable(sample_ids(labels, most))), "doc_id")
     counts = durable(picked.select("doc_id", "toxic", F.udf(lambda t: features_of(t), "map<string,int>")("text").alias("f")))
@@ -183,5 +186,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs that the fitted model does not reject; all columns as they were."""
+    """Rows of docs that the fitted model does not reject; all columns as they were.
+
+    The model is fitted on the labelled rows of docs. A missing or empty text has
+    no features and stays; repeated rows are judged alike, each of them. Without
+    labelled rows of both kinds, or without any rows, nothing is rejected.
+    """
     return docs.filter(_severity(docs.sparkSession, fit(docs, labels), F.col("text")) < TOXIC_FROM)

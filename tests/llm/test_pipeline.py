@@ -70,3 +70,21 @@ def test_mix_and_shards(steps):
 def test_run_gives_the_same(spark, steps):
     got = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in steps[5])
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_odd_and_empty_tables(spark, name, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = [*docs.columns, "shard", "slot"] if name == "sharding" else docs.columns
+    nothing = stage(spark, docs.limit(0), SF)
+    assert nothing.columns == kept and nothing.count() == 0
+    some = docs.limit(30).collect()
+    odd = [(None, None, "en", None, 0), (None, "", None, "src1", 0), (7, None, None, None, None), (7, None, None, None, None), (8, "ein Wort", "de", "src1", 8)]
+    rows = [tuple(r) for r in some] + odd + [tuple(some[0])] * 3
+    out = stage(spark, spark.createDataFrame(rows, docs.schema), SF)
+    got = Counter(tuple(r)[: len(docs.columns)] for r in out.collect())
+    assert out.columns == kept and set(got) <= set(rows)
+    if name in ("decontamination", "sharding"):  # nothing without a text is held back, and repeats stay
+        assert all(got[r] == rows.count(r) for r in odd) and got[tuple(some[0])] in (0, rows.count(tuple(some[0])))
+    if name == "simhash near-dedup":
+        assert max(got.values()) == 1
