@@ -1,4 +1,8 @@
-"""Corpus pipeline: stages that each apply one corpus operator to all their predecessor kept."""
+"""Corpus pipeline: stages that each apply one corpus operator to all their predecessor kept.
+
+Every stage takes null ids, missing and empty texts, repeated rows and further
+columns as its operator's docstring says, and passes an empty table on as it is.
+"""
 
 from __future__ import annotations
 
