@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.hashing import hash_text, md5_bucket
-from tabloom.operators.aggregate import long_form, numeric_columns, text_columns, wide_stats
+from tabloom.operators.aggregate import long_form, numeric_columns, one_zero, text_columns, wide_stats
+from tabloom.operators.learned import sql_name
 from tabloom.operators.lookup import lookup
 from tabloom.operators.quantiles import exact_quantiles
 
@@ -90,6 +93,30 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     )
 
 
+def few_valued(df: DataFrame, columns: Sequence[str], most: int) -> list[str]:
+    """The columns that may hold up to ``most`` distinct values; every other one surely holds more.
+
+    One pass of mergeable sketches of fixed size, without a shuffle of cells. A
+    sketch of m registers reads m ln(m / empty ones) while few are in use, and n
+    values use n at most; so a column that reads more than n = ``most`` values
+    could is out for certain, whatever the hash. What is left is counted exactly
+    by the caller. Limits too large for a small sketch, and nested columns, are
+    left in.
+    """
+    registers = 512
+    while registers < 4 * (most + 2):
+        registers *= 2
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    plain = [c for c in columns if not isinstance(kinds[c], (T.ArrayType, T.MapType, T.StructType))]
+    if registers > 1 << 14 or not plain:
+        return list(columns)
+    precision = 1.1061 / math.sqrt(registers)
+    largest = registers * math.log(registers / (registers - most - 2)) + 1
+    read = df.agg(*[F.approx_count_distinct(one_zero(F.col(sql_name(c)), kinds[c]), precision).alias(str(i)) for i, c in enumerate(plain)]).first()
+    over = {c for i, c in enumerate(plain) if read[str(i)] > largest}
+    return [c for c in columns if c not in over]
+
+
 def type_groups(df: DataFrame) -> DataFrame:
     """(type, n_columns, columns): the columns of each type, names sorted."""
     found: dict[str, list[str]] = {}
@@ -102,8 +129,12 @@ def type_groups(df: DataFrame) -> DataFrame:
 def low_cardinality_values(df: DataFrame, columns: Sequence[str], least: int = 2, most: int = 100) -> DataFrame:
     """(column, value) of columns whose distinct count lies in the range, sorted.
 
-    Values leave the distinct table only for the columns that qualify.
+    Columns that surely hold more are told by a sketch; of the others, values
+    leave the distinct table only for the columns that qualify.
     """
+    columns = few_valued(df, columns, most)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string")
     distinct = long_form(df, columns).filter(F.col("value").isNotNull()).distinct()
     sizes = distinct.groupBy("column").agg(F.count("*").alias("n"))
     fit = sizes.filter(F.col("n").between(least, most))

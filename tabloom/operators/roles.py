@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.aggregate import long_form, numeric_columns, text_columns
-from tabloom.operators.profile import column_profile, missing_profile
+from tabloom.operators.profile import column_profile, few_valued, missing_profile
 
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 _FLOATS = ("float", "double")
+#: Counters that have many values but identify nothing (a fixed value).
+NEVER_IDS = ("at_bat_number",)
 
 
 @dataclass(frozen=True)
@@ -110,12 +112,14 @@ def split_roles(
     """Numbers -> numerical; text with few values (missing counts as one) -> categorical; rest dropped."""
     skip = {target, *ids}
     columns = [c for c in df.columns if c not in skip]
-    role = (
-        F.when(_is_number(), "numerical")
-        .when(_is_text() & (F.col("n_distinct_with_missing") <= cardinality), "categorical")
-        .otherwise("dropped")
-    )
-    return column_profile(df, columns).select("column", "type", role.alias("role"))
+    # numbers need no count, and text that surely has more values is not counted either
+    few = few_valued(df, [c for c in columns if c in set(text_columns(df))], cardinality)
+    counts = column_profile(df, few).select("column", "n_distinct_with_missing").collect() if few else []
+    kept = {r["column"] for r in counts if r["n_distinct_with_missing"] <= cardinality}
+    types = dict(df.dtypes)
+    table = df.sparkSession.createDataFrame([(c, types[c], c in kept) for c in columns], "column string, type string, few boolean")
+    role = F.when(_is_number(), "numerical").when(_is_text() & F.col("few"), "categorical").otherwise("dropped")
+    return table.select("column", "type", role.alias("role"))
 
 
 def cardinality_split(df: DataFrame, threshold: int = 50) -> DataFrame:
@@ -126,7 +130,7 @@ def cardinality_split(df: DataFrame, threshold: int = 50) -> DataFrame:
     )
 
 
-def id_like_columns(df: DataFrame, distinct: int = 50, never: Sequence[str] = ("at_bat_number",)) -> DataFrame:
+def id_like_columns(df: DataFrame, distinct: int = 50, never: Sequence[str] = NEVER_IDS) -> DataFrame:
     """Text or long columns with more distinct values than the limit, with distinct/rows."""
     candidates = (_is_text() | _is_type("bigint")) & ~F.col("column").isin(list(never))
     return (
@@ -201,8 +205,15 @@ def drop_sparse(df: DataFrame, threshold: float = 0.1) -> DataFrame:
 
 
 def drop_ids(df: DataFrame, distinct: int = 50) -> DataFrame:
-    """Drop identifier-like columns; the frame comes back unchanged if there are none."""
-    return df.drop(*names_where(id_like_columns(df, distinct)))
+    """Drop identifier-like columns (see ``id_like_columns``); the frame comes back unchanged if there are none.
+
+    Columns are counted exactly only where a sketch does not show that they are over the limit.
+    """
+    asked = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "date", "timestamp", "bigint") and f.name not in NEVER_IDS]
+    few = few_valued(df, asked, distinct)
+    counts = column_profile(df, few).select("column", "n_distinct").collect() if few else []
+    kept = {r["column"] for r in counts if r["n_distinct"] <= distinct} | set(few) - {r["column"] for r in counts}
+    return df.drop(*[c for c in asked if c not in kept])
 
 
 def without(columns: Sequence[str], target: str, removed: Sequence[str] = ()) -> list[str]:
