@@ -37,6 +37,8 @@ def pitch_key(game="game_pk", at_bat="at_bat_number", pitch="pitch_number"):
 
 # ---------------------------------------------------------------- block layouts
 
+# fixed values: block names appear in output names, and the bounds decide the slots
+
 
 def hashed_blocks(g: FeatureGroups) -> list[Block]:
     """Commonest-value imputing throughout; capped one-hot categories; player ids hashed into 32 counters."""
@@ -72,7 +74,7 @@ def robust_blocks(g: FeatureGroups) -> list[Block]:
 
 
 def typed_blocks(df: DataFrame, features: Sequence[str]) -> list[Block]:
-    """Numbers scaled, text one-hot. Spark forests take no gaps, so numbers get their mean."""
+    """Numbers scaled, text one-hot. Forests take no gaps, so numbers get their mean."""
     numbers = [c for c in numeric_columns(df) if c in set(features)]
     return [
         Block("num", numbers, "mean", scale="standard"),
