@@ -369,6 +369,16 @@ def _sample(rules: Rules, tree: int, block: int, n: int) -> np.ndarray:
     return draws(rules.seed, tree, block, n) if rules.bootstrap else np.ones(n, dtype=np.int64)
 
 
+def _rows_of(at: np.ndarray, times: np.ndarray, nodes: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, its sampled rows in order) of the asked nodes; the rows are sorted once, however many nodes there are."""
+    held = np.nonzero(times > 0)[0]
+    held = held[np.argsort(at[held], kind="stable")]
+    low, high = (np.searchsorted(at[held], nodes, side=side) for side in ("left", "right"))
+    for node, a, b in zip(nodes, low.tolist(), high.tolist()):
+        if b > a:
+            yield node, held[a:b]
+
+
 def _counted(packed: Packed, asked: list[tuple[int, int, np.ndarray]], routings: dict, rules: Rules):
     """Class weights and rows per (tree, node, feature, bin) of the asked nodes, as {(tree, node, feature): matrix}."""
     width, classes, kind = packed.bins.most, packed.classes, packed.bins.kind
@@ -385,9 +395,9 @@ def _counted(packed: Packed, asked: list[tuple[int, int, np.ndarray]], routings:
                 for tree, nodes in wanted.items():
                     at = _placed(codes, routes[tree])
                     times = _sample(rules, tree, block, len(y))
-                    for node, features in nodes:
-                        rows = np.nonzero((at == node) & (times > 0))[0]
-                        for f in features.tolist():
+                    asked_of = dict(nodes)
+                    for node, rows in _rows_of(at, times, list(asked_of)):
+                        for f in asked_of[node].tolist():
                             code = codes[rows, f].astype(np.int64)
                             cells = np.bincount(code * classes + y[rows], (w * times)[rows], width * classes).reshape(width, classes)
                             both = np.column_stack([cells, np.bincount(code, times[rows], width)])
@@ -476,10 +486,9 @@ def _grown(packed: Packed, trees: list[_Tree], numbers: Sequence[int], rules: Ru
                 for tree, routing in routes.items():
                     at, times = _placed(codes, routing), _sample(rules, tree, block, len(y))
                     held = []
-                    for node in wanted[tree]:
-                        rows = np.nonzero((at == node) & (times > 0))[0]
-                        if len(rows):
-                            held.append((tree, node, block, codes[rows].tobytes(), y[rows].tobytes(), w[rows].tobytes(), times[rows].astype(np.int32).tobytes()))
+                    for node, rows in _rows_of(at, times, list(wanted[tree])):
+                        parts = (codes[rows], y[rows], w[rows], times[rows].astype(np.int32))
+                        held.append((tree, node, block, *[p.tobytes() for p in parts]))
                     if held:
                         kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
                         arrays = [pa.array(c, k) for c, k in zip(zip(*held), kinds)]
