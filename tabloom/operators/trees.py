@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.session import durable
+from tabloom.session import discard, stored
 
 #: Rows in a block.
 BLOCK_ROWS = 16_384
@@ -71,6 +71,11 @@ class Packed:
     bins: Bins
     classes: int
     rows: int
+    paths: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Delete the stored blocks."""
+        discard(self.blocks.sparkSession, *self.paths)
 
     @property
     def features(self) -> int:
@@ -137,9 +142,9 @@ def pack(rows: DataFrame, label: str, classes: int, weight: str | None = None, f
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["block", "n", "codes", "label", "weight"])
                 number += 1
 
-    stored = durable(flat.mapInArrow(packed, "block bigint, n int, codes binary, label binary, weight binary"))
-    count = stored.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    return Packed(stored, learned, classes, count)
+    blocks, path = stored(flat.mapInArrow(packed, "block bigint, n int, codes binary, label binary, weight binary"))
+    count = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return Packed(blocks, learned, classes, count, [path])
 
 
 def unpacked(batch: pa.RecordBatch, kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -511,13 +516,14 @@ def _grown(packed: Packed, trees: list[_Tree], numbers: Sequence[int], rules: Ru
     groups = sum(map(len, marked.values()))
     # a number of partitions that is asked for is not merged: small nodes are little data but much work
     dealt = parts.repartition(min(groups, 16 * context.defaultParallelism), "tree", "node")
-    grown = durable(dealt.groupBy("tree", "node").applyInArrow(finish, schema))
+    grown, path = stored(dealt.groupBy("tree", "node").applyInArrow(finish, schema))
     nodes = grown.agg(F.sum(F.octet_length("feature")) / 4).first()[0] or 0
     if nodes > MOST_NODES:
         raise ValueError(f"the trees would have {int(nodes)} nodes; name a depth, a larger leaf or split size")
     for r in grown.toLocalIterator():
         made = {c: np.frombuffer(r[c], dtype=t) for c, t in kinds.items()}
         out[(r["tree"], r["node"])] = made | {"value": np.frombuffer(r["value"], dtype=np.float32).reshape(-1, classes)}
+    discard(packed.blocks.sparkSession, path)
     return out
 
 

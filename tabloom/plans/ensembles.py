@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.trees import MOST_NODES, Packed, Rules, _placed, grow_forest, pack, unpacked
-from tabloom.session import durable
+from tabloom.session import stored
 
 _KINDS = {"feature": np.int32, "threshold": np.float64, "left": np.int32, "right": np.int32, "gain": np.float64, "value": np.float64}
 #: Rounds of boosting after which the scores of all rows are written down anew.
@@ -170,7 +170,10 @@ class Forest:
         packed = pack(rows, self.label, class_count(rows, self.label), self.weight, bins=self.bins)
         tried = self.tried or max(1, math.isqrt(packed.features))
         rules = Rules(min(tried, packed.features), self.depth, self.split, self.leaf, self.drawn, self.bootstrap, self.seed)
-        return TreeEnsemble("forest", grow_forest(packed, self.trees, rules), packed.classes, packed.features)
+        try:
+            return TreeEnsemble("forest", grow_forest(packed, self.trees, rules), packed.classes, packed.features)
+        finally:
+            packed.release()
 
 
 @dataclass
@@ -214,8 +217,11 @@ class Boosting:
             if len(done) + len(recent) > MOST_NODES:
                 raise ValueError("too many trees")
             if (r + 1) % _KEEP_EVERY == 0 and r + 1 < self.rounds:
-                blocks = durable(_scored_blocks(packed, blocks, start, recent))
+                blocks, path = stored(_scored_blocks(packed, blocks, start, recent))
+                packed.release()
+                packed.paths = [path]
                 done, recent = done + recent, []
+        packed.release()
         return TreeEnsemble("boosting", done + recent, packed.classes, packed.features, start.tolist(), self.step)
 
 

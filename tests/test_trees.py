@@ -1,5 +1,7 @@
 """Tree ensembles against plain versions, and wherever their nodes are grown."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -7,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 
 from tabloom.operators import trees
 from tabloom.plans.ensembles import Boosting, Forest, TreeEnsemble, leaf_of
+from tabloom.session import ensure_checkpoint_dir
 
 
 def _data(n=900, classes=3, seed=0):
@@ -79,6 +82,7 @@ def test_counted_levels_and_tasks_grow_the_same_trees(spark, monkeypatch, kind):
     x, y = _data(1500)
     df = _frame(spark, x, y).cache()
     packed = trees.pack(df, "label_index", 3)
+    packed.paths = []  # shared by the fits below
     monkeypatch.setattr(trees, "pack", lambda *a, **k: packed)
     monkeypatch.setattr("tabloom.plans.ensembles.pack", lambda *a, **k: packed)
     whole = Forest(trees=4, seed=7, **kind).fit(df)
@@ -173,3 +177,12 @@ def test_scored_saved_and_read_back(spark, tmp_path):
         assert isinstance(again, TreeEnsemble) and np.array_equal(again.raw(x), fitted.raw(x))
         assert out.limit(0).count() == 0
     df.unpersist()
+
+
+def test_stored_blocks_are_deleted(spark):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    x, y = _data(200)
+    df, before = _frame(spark, x, y).cache(), set(os.listdir(folder))
+    Forest(trees=2).fit(df)
+    Boosting(rounds=1, depth=1).fit(df)
+    assert set(os.listdir(folder)) == before
