@@ -201,7 +201,7 @@ class Boosting:
         shares = _class_weights(packed)
         start = np.log(np.maximum(shares / shares.sum(), 1e-300))
         zero = np.zeros(0).tobytes()
-        blocks = packed.blocks.withColumn("scores", F.lit(zero))
+        blocks = packed.blocks.withColumn("scores", F.lit(zero)).persist()  # over the stored copy
         done: list[dict] = []
         recent: list[dict] = []
         for r in range(self.rounds):
@@ -217,10 +217,13 @@ class Boosting:
             if len(done) + len(recent) > MOST_NODES:
                 raise ValueError("too many trees")
             if (r + 1) % _KEEP_EVERY == 0 and r + 1 < self.rounds:
-                blocks, path = stored(_scored_blocks(packed, blocks, start, recent))
+                after, path = stored(_scored_blocks(packed, blocks, start, recent))
+                blocks.unpersist()
+                blocks = after.persist()
                 packed.release()
                 packed.paths = [path]
                 done, recent = done + recent, []
+        blocks.unpersist()
         packed.release()
         return TreeEnsemble("boosting", done + recent, packed.classes, packed.features, start.tolist(), self.step)
 
