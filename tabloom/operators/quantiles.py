@@ -1,97 +1,125 @@
 """Exact interpolated quantiles without gathering a column in one task.
 
 ``percentile`` keeps every distinct value of a group in one buffer, and
-``percentile_approx`` is not exact. Here a mergeable sketch brackets each wanted
-rank, a second pass counts what lies below the bracket and keeps only the
-values inside it (about 0.06% of the rows), and the exact order statistics are
-read off that remainder.
+``percentile_approx`` is not exact. Here values are counted per prefix, from the
+leading digits on: first per sign and thirty-second of a power of two, then per
+equal part of the range of values that holds a wanted rank. Every task counts
+before anything moves, no row is multiplied, and as two different values fall
+apart after a few passes, a rank cannot be missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.operators.aggregate import long_form, wide_stats
+from tabloom.operators.aggregate import long_form
 from tabloom.operators.lookup import lookup
-from tabloom.operators.ranks import cell_splits, running_sums
+from tabloom.session import discard, durable, stored
 
-_ACCURACY = 10_000
-_MARGIN = 3e-4  # sketch error 1e-4, plus interpolation to the next row
-_SMALL_GROUP = 20_000  # up to here the bracket is the whole group
+_PARTS = 4096  # of a range, in each pass after the first
+_STEPS = 32  # prefixes per power of two, in the first pass
+
+
+def _prefix(x: Column) -> Column:
+    """Sign and leading binary digits of a number as an integer that grows with it."""
+    size = F.abs(x)
+    steps = F.floor((F.log2(size) + 1100) * _STEPS)  # over zero for the least of doubles
+    infinite = F.lit(1 << 20)
+    code = F.when(size == 0, F.lit(0)).when(size == F.lit(float("inf")), infinite).otherwise(steps).cast("int")
+    return F.when(F.isnan(x), 2 * infinite).when(x < 0, -code).otherwise(code)
+
+
+def _ranked(counts: DataFrame, wanted: DataFrame, within: Sequence[str], part: str) -> DataFrame:
+    """Narrow every wanted rank to the part that holds it.
+
+    ``counts`` has a row per part with its rows ``k`` and its ``least`` and ``most``
+    value, at most some thousand for a key of ``within``.
+    """
+    order = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    spans = counts.withColumn("end", F.sum("k").over(order)).withColumn("start", F.col("end") - F.col("k"))
+    spans = spans.select(*within, "k", "start", "end", "least", "most")
+    left = F.col("rank") - F.col("start")
+    kept = [c for c in wanted.columns if c not in ("rank", "lo", "hi")]
+    return (
+        wanted.join(spans, list(within))
+        .filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
+        .select(
+            *kept,
+            left.alias("rank"),
+            # the first and the last row of a part are known without another pass
+            F.when((left == F.col("k") - 1) & (left > 0), F.col("most")).otherwise(F.col("least")).alias("lo"),
+            F.when(left == 0, F.col("least")).otherwise(F.col("most")).alias("hi"),
+        )
+    )
 
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """(by..., column, prob, n, value) for every group, column and probability."""
-    by, probs = list(by), list(probs)
-    grid = [q for p in probs for q in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
+    """(by..., column, prob, n, value) for every group, column and probability.
+
+    Missing values and rows with a missing group are left out; a group without
+    values of a column has no row for it. NaN is above every number. The passes
+    run when this is called, each a scan of the rows; the tables between them are
+    deleted and the answer, a row per group, column and probability, is stored.
+    """
+    by, probs = list(by), [float(p) for p in probs]
+    group = [*by, "column"]
     data = df
     for b in by:
         data = data.filter(F.col(b).isNotNull())
-    sketch = wide_stats(
-        data,
-        columns,
-        {
-            "n": lambda c: F.count(c),
-            "least": lambda c: F.min(F.col(c).cast("double")),
-            "most": lambda c: F.max(F.col(c).cast("double")),
-            "grid": lambda c: F.percentile_approx(F.col(c).cast("double"), grid, _ACCURACY),
-        },
-        by,
-    ).filter(F.col("n") > 0)
-    whole = F.col("n") < _SMALL_GROUP
-    brackets = sketch.select(
-        *by,
-        "column",
-        "n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("prob"),
-                        F.when(whole, F.col("least")).otherwise(F.col("grid")[2 * i]).alias("lo"),
-                        F.when(whole, F.col("most")).otherwise(F.col("grid")[2 * i + 1]).alias("hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ),
-    ).persist()
     values = long_form(data, columns, by, "double").filter(F.col("value").isNotNull())
-    near = lookup(values, brackets.select(*by, "column", "prob", "lo", "hi"), [*by, "column"], "inner")
-    # everything below a bracket collapses into one counted marker row
-    counted = (
-        near.filter(F.col("value") <= F.col("hi"))
-        .withColumn("value", F.when(F.col("value") >= F.col("lo"), F.col("value")))
-        .groupBy(*by, "column", "prob", "value")
-        .agg(F.count("*").alias("k"))
-        .persist()
-    )
-    group = [*by, "column", "prob"]
-    ordered = counted.withColumn("along", F.coalesce("value", F.lit(float("-inf"))))
-    splits = cell_splits(ordered, "along", counted.count())
-    ranked = running_sums(ordered, group, [F.col("along")], "along", {"upto": F.col("k")}, splits)
-    joined = ranked.join(brackets.select(*group, "n"), group)
+    x = F.col("value")
+    measures = [F.count("*").alias("k"), F.min("value").alias("least"), F.max("value").alias("most")]
+    counts, first_path = stored(values.groupBy(*group, _prefix(x).alias("part")).agg(*measures))
     position = F.col("prob") * (F.col("n") - 1)
-    lower, upper = F.floor(position), F.ceil(position)
-    picked = joined.groupBy(*group).agg(
-        F.first("n").alias("n"),
-        F.min(F.when(F.col("upto") > lower, F.col("along"))).alias("a"),
-        F.min(F.when(F.col("upto") > upper, F.col("along"))).alias("b"),
-        F.first(position - lower).alias("t"),
+    wanted = (
+        counts.groupBy(*group)
+        .agg(F.sum("k").alias("n"))
+        .withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
+        .withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
+        .withColumn("rank", F.when(F.col("upper"), F.ceil(position)).otherwise(F.floor(position)))
+    )
+    wanted, path = stored(_ranked(counts, wanted, group, "part"))
+    discard(df.sparkSession, first_path)
+    while not wanted.filter(F.col("lo") < F.col("hi")).isEmpty():
+        counts, counts_path = stored(_refined(values, wanted, group, 2 * len(probs)).agg(*measures))
+        open_ranks = wanted.filter(F.col("lo") < F.col("hi")).withColumn("floor", F.col("lo"))
+        narrowed = _ranked(counts, open_ranks, [*group, "floor"], "part").drop("floor")
+        known = wanted.filter(~(F.col("lo") < F.col("hi")))
+        past, (wanted, path) = path, stored(known.unionByName(narrowed))
+        discard(df.sparkSession, past, counts_path)
+    a, b = F.min(F.when(~F.col("upper"), F.col("lo"))), F.min(F.when(F.col("upper"), F.col("lo")))
+    picked = wanted.groupBy(*group, "prob", "n").agg(a.alias("a"), b.alias("b"))
+    between = F.col("a") + (F.col("b") - F.col("a")) * (position - F.floor(position))
+    # equal ends are the value itself, also where they are infinite
+    answer = durable(
+        picked.select(*group, "prob", "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("value"))
     )
-    missed = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.lit(float("-inf")))
-    return picked.select(
-        *group,
-        "n",
-        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("t"))
-        .alias("value"),
+    discard(df.sparkSession, path)
+    return answer
+
+
+def _refined(values: DataFrame, wanted: DataFrame, group: Sequence[str], most: int):
+    """Rows of the ranges that hold an open rank, grouped by equal parts of their range."""
+    # one row per group and column: its open ranges, which are disjoint
+    ranges = (
+        wanted.filter(F.col("lo") < F.col("hi"))
+        .groupBy(*group)
+        .agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+        .select(*group, *[F.get("spans", F.lit(j))[e].alias(f"{e}{j}") for j in range(most) for e in ("lo", "hi")])
     )
+    near = lookup(values, ranges, group, "inner")
+    inside = [F.col("value").between(F.col(f"lo{j}"), F.col(f"hi{j}")) for j in range(most)]
+    lo = F.coalesce(*[F.when(i, F.col(f"lo{j}")) for j, i in enumerate(inside)])
+    hi = F.coalesce(*[F.when(i, F.col(f"hi{j}")) for j, i in enumerate(inside)])
+    share = (F.col("value") - F.col("floor")) / (F.col("top") - F.col("floor"))
+    part = F.least(F.floor(share * _PARTS).cast("int"), F.lit(_PARTS - 1))
+    cut = near.select(*group, "value", lo.alias("floor"), hi.alias("top")).filter(F.col("floor").isNotNull())
+    return cut.groupBy(*group, "floor", part.alias("part"))
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

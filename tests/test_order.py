@@ -77,13 +77,11 @@ def test_neighbour_information(spark, per_cell):
     assert abs(got[0].score - brute_information(rows)) < 1e-9
 
 
-@pytest.mark.parametrize("small", [20_000, 50])
-def test_exact_quantiles(spark, monkeypatch, small):
+@pytest.mark.parametrize("parts", [4096, 8])
+def test_exact_quantiles(spark, monkeypatch, parts):
     import numpy as np
 
-    monkeypatch.setattr(quantiles, "_SMALL_GROUP", small)
-    if small == 50:
-        monkeypatch.setattr(quantiles, "_MARGIN", 0.05)
+    monkeypatch.setattr(quantiles, "_PARTS", parts)
     r = random.Random(5)
     rows = [("hot" if i % 3 else "cold", r.choice([1.0, 2.0, r.gauss(0, 9)])) for i in range(3000)]
     rows += [("few", 1.0), ("few", 2.0), ("few", 3.0), ("few", 4.0), ("few", 100.0), ("few", None)]
@@ -96,6 +94,30 @@ def test_exact_quantiles(spark, monkeypatch, small):
     assert quantiles.exact_quantiles(df.filter("g = 'none'"), ["x"], [0.5]).count() == 0
 
 
+def test_quantiles_of_extreme_values(spark):
+    import numpy as np
+
+    near = [1.0 + i * 2.0**-52 for i in range(40)]  # neighbouring doubles
+    rows = [("near", x) for x in near] + [("wide", s * 10.0**e) for e in range(-320, 308, 7) for s in (-1, 1)]
+    rows += [("signs", x) for x in (-0.0, 0.0, -5e-324, 5e-324, -1.0)]
+    rows += [("ends", x) for x in (float("-inf"), 1.0, float("inf"), float("inf"), float("inf"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {(t.g, t.prob): t.value for t in quantiles.exact_quantiles(df, ["x"], [0.0, 0.3, 0.5, 1.0], ["g"]).collect()}
+    for g in ("near", "wide", "signs"):
+        values = sorted(x for h, x in rows if h == g)
+        for p in (0.0, 0.3, 0.5, 1.0):
+            at = p * (len(values) - 1)
+            a, b = values[int(np.floor(at))], values[int(np.ceil(at))]
+            assert got[(g, p)] == a + (b - a) * (at - np.floor(at))
+    assert [got[("ends", p)] for p in (0.0, 0.5, 1.0)] == [float("-inf"), float("inf"), float("inf")]
+
+
+def test_quantiles_where_no_value_is(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("b", float("nan"), None), (None, 1.0, 1.0)], "g string, x double, y double")
+    got = {(t.g, t.column): (t.n, str(t.value)) for t in quantiles.exact_quantiles(df, ["x", "y"], [0.5], ["g"]).collect()}
+    assert got == {("b", "x"): (1, "nan"), ("a", "y"): (1, "1.0")}
+
+
 def labelled(spark, parts=4):
     return spark.range(1000, numPartitions=parts).select(
         "id", F.when(F.col("id") % 3 == 0, "big").when(F.col("id") % 50 == 1, "tiny").otherwise("mid").alias("y")
