@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from tabloom.functions.hashing import hash_text, md5_bucket
 from tabloom.operators.aggregate import long_form, numeric_columns, one_zero, text_columns, wide_stats
 from tabloom.operators.learned import sql_name
-from tabloom.operators.lookup import lookup
 from tabloom.operators.quantiles import exact_quantiles
 
 
@@ -229,7 +228,8 @@ def box_stats(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
         F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"),
     )
     values = long_form(data, columns, ["class"], "double").filter(F.col("value").isNotNull())
-    fenced = lookup(values, quartiles.persist(), ["class", "column"], "inner")
+    # quartiles come from a stored table, so Spark broadcasts them only if that is small
+    fenced = values.join(quartiles, ["class", "column"])
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return fenced.groupBy("column", "class", "q1", "median", "q3").agg(

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.operators.aggregate import long_form
-from tabloom.operators.lookup import lookup
-from tabloom.session import discard, durable, stored
+from tabloom.session import discard, stored
 
 _PARTS = 4096  # of a range, in each pass after the first
 _STEPS = 32  # prefixes per power of two, in the first pass
@@ -64,7 +63,7 @@ def exact_quantiles(
     Missing values and rows with a missing group are left out; a group without
     values of a column has no row for it. NaN is above every number. The passes
     run when this is called, each a scan of the rows; the tables between them are
-    deleted and the answer, a row per group, column and probability, is stored.
+    deleted, the last one, two rows per group, column and probability, stays.
     """
     by, probs = list(by), [float(p) for p in probs]
     group = [*by, "column"]
@@ -86,21 +85,17 @@ def exact_quantiles(
     wanted, path = stored(_ranked(counts, wanted, group, "part"))
     discard(df.sparkSession, first_path)
     while not wanted.filter(F.col("lo") < F.col("hi")).isEmpty():
-        counts, counts_path = stored(_refined(values, wanted, group, 2 * len(probs)).agg(*measures))
+        counts = _refined(values, wanted, group, 2 * len(probs)).agg(*measures)
         open_ranks = wanted.filter(F.col("lo") < F.col("hi")).withColumn("floor", F.col("lo"))
         narrowed = _ranked(counts, open_ranks, [*group, "floor"], "part").drop("floor")
         known = wanted.filter(~(F.col("lo") < F.col("hi")))
         past, (wanted, path) = path, stored(known.unionByName(narrowed))
-        discard(df.sparkSession, past, counts_path)
+        discard(df.sparkSession, past)
     a, b = F.min(F.when(~F.col("upper"), F.col("lo"))), F.min(F.when(F.col("upper"), F.col("lo")))
     picked = wanted.groupBy(*group, "prob", "n").agg(a.alias("a"), b.alias("b"))
     between = F.col("a") + (F.col("b") - F.col("a")) * (position - F.floor(position))
     # equal ends are the value itself, also where they are infinite
-    answer = durable(
-        picked.select(*group, "prob", "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("value"))
-    )
-    discard(df.sparkSession, path)
-    return answer
+    return picked.select(*group, "prob", "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("value"))
 
 
 def _refined(values: DataFrame, wanted: DataFrame, group: Sequence[str], most: int):
@@ -112,7 +107,8 @@ def _refined(values: DataFrame, wanted: DataFrame, group: Sequence[str], most: i
         .agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
         .select(*group, *[F.get("spans", F.lit(j))[e].alias(f"{e}{j}") for j in range(most) for e in ("lo", "hi")])
     )
-    near = lookup(values, ranges, group, "inner")
+    # the ranges come from a stored table, so Spark broadcasts them only if that is small
+    near = values.join(ranges, list(group))
     inside = [F.col("value").between(F.col(f"lo{j}"), F.col(f"hi{j}")) for j in range(most)]
     lo = F.coalesce(*[F.when(i, F.col(f"lo{j}")) for j, i in enumerate(inside)])
     hi = F.coalesce(*[F.when(i, F.col(f"hi{j}")) for j, i in enumerate(inside)])
