@@ -260,6 +260,28 @@ def shipped_drop_lists(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("columns_left", F.lit(len(left.columns)))
 
 
+# name -> text as it stands in the file, and the SQL of the value it must be read as
+_MIXED = {
+    "whole": ("CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey AS STRING) ELSE 'NA' END", "CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END"),
+    "number": ("IF(o_orderkey % 2 = 0, '1', IF(o_orderkey % 5 = 0, '-2.5e1', '.5'))", "CASE WHEN o_orderkey % 2 = 0 THEN 1.0E0 WHEN o_orderkey % 5 = 0 THEN -25.0E0 ELSE 0.5E0 END"),
+    "flag": ("CASE o_orderkey % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'false' END", "CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END"),
+    "day": ("IF(o_orderkey % 7 = 0, 'NaN', CAST(CAST(o_orderdate AS DATE) AS STRING))", "CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END"),
+    "day_or_text": ("IF(o_orderkey % 7 = 0, 'never', CAST(CAST(o_orderdate AS DATE) AS STRING))", "CASE WHEN o_orderkey % 7 = 0 THEN 'never' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END"),
+    "number_or_text": ("IF(o_orderkey % 100 = 7, 'x', CAST(o_orderkey AS STRING))", "CASE WHEN o_orderkey % 100 = 7 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END"),
+    "vast": ("IF(o_orderkey % 4 = 1, '18446744073709551616', '1')", "CASE WHEN o_orderkey % 4 = 1 THEN 18446744073709551616.0E0 ELSE 1.0E0 END"),
+    "nothing": ("IF(o_orderkey % 2 = 0, 'null', 'N/A')", "CAST(NULL AS DOUBLE)"),
+}
+
+
+@checked("SELECT o_orderkey, " + ", ".join(f"{want} AS {n}" for n, (_, want) in _MIXED.items()) + " FROM orders")
+def csv_inferred_types(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of mixed texts written as CSV and read back without a schema."""
+    texts = table(spark, d, "orders").select("o_orderkey", *[F.expr(text).alias(n) for n, (text, _) in _MIXED.items()])
+    path = _scratch(spark)
+    write_csv(texts, path)
+    return read_csv(spark, path)
+
+
 @checked("SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
 def second_schema_scan(spark: SparkSession, d: str) -> DataFrame:
     """The same reader over another table with a schema of its own."""

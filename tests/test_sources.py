@@ -28,6 +28,27 @@ def test_csv_tokens_and_types(spark, tmp_path):
         tables.read_csv(spark, str(path), T.StructType([T.StructField("nope", T.LongType())]))
 
 
+def test_types_come_from_all_rows(spark, tmp_path):
+    head = "a.b,n,late,flag,day,bad_day,blank,text,ends\n"
+    lines = [f"{i},{i}.5,{i},TRUE,2024-02-{i % 28 + 1:02d},2024-02-28,,1d,inf" for i in range(2000)]
+    lines += ["NA,1,x,false,NaN,2024-02-30,null,2,-Infinity"]
+    (tmp_path / "in.csv").write_text(head + "\n".join(lines) + "\n")
+    df = tables.read_csv(spark, str(tmp_path / "in.csv"))
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [
+        ("a.b", "bigint"), ("n", "double"), ("late", "string"), ("flag", "boolean"), ("day", "date"),
+        ("bad_day", "string"), ("blank", "double"), ("text", "string"), ("ends", "double"),
+    ]
+    last = df.filter("late = 'x'").first()
+    assert tuple(last) == (None, 1.0, "x", False, None, "2024-02-30", None, "2", float("-inf"))
+    assert tables.infer_schema(spark, str(tmp_path / "in.csv")) == df.schema
+
+
+def test_types_of_a_file_without_rows(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("a,b\n")
+    df = tables.read_csv(spark, str(tmp_path / "in.csv"))
+    assert df.dtypes == [("a", "double"), ("b", "double")] and df.count() == 0
+
+
 def test_csv_sink_only_with_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.5, "q", None, None)], SCHEMA)
     assert not tables.write_csv(df.filter("id > 5"), str(tmp_path / "none"))
