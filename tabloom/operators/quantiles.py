@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from tabloom.operators.aggregate import long_form
@@ -31,27 +31,22 @@ def _prefix(x: Column) -> Column:
     return F.when(F.isnan(x), 2 * infinite).when(x < 0, -code).otherwise(code)
 
 
-def _ranked(counts: DataFrame, wanted: DataFrame, within: Sequence[str], part: str) -> DataFrame:
-    """Narrow every wanted rank to the part that holds it.
-
-    ``counts`` has a row per part with its rows ``k`` and its ``least`` and ``most``
-    value, at most some thousand for a key of ``within``.
-    """
-    order = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+def _spans(counts: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Places ``start`` to ``end`` of every part in the order of its key; a key has some thousand parts at most."""
+    order = Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     spans = counts.withColumn("end", F.sum("k").over(order)).withColumn("start", F.col("end") - F.col("k"))
-    spans = spans.select(*within, "k", "start", "end", "least", "most")
+    return spans.drop("part")
+
+
+def _narrowed(held: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Wanted ranks beside the parts of their key: the part that holds each one, and its place there."""
     left = F.col("rank") - F.col("start")
-    kept = [c for c in wanted.columns if c not in ("rank", "lo", "hi")]
-    return (
-        wanted.join(spans, list(within))
-        .filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
-        .select(
-            *kept,
-            left.alias("rank"),
-            # the first and the last row of a part are known without another pass
-            F.when((left == F.col("k") - 1) & (left > 0), F.col("most")).otherwise(F.col("least")).alias("lo"),
-            F.when(left == 0, F.col("least")).otherwise(F.col("most")).alias("hi"),
-        )
+    return held.filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))).select(
+        *keep,
+        left.alias("rank"),
+        # the first and the last row of a part are known without another pass
+        F.when((left == F.col("k") - 1) & (left > 0), F.col("most")).otherwise(F.col("least")).alias("lo"),
+        F.when(left == 0, F.col("least")).otherwise(F.col("most")).alias("hi"),
     )
 
 
@@ -73,23 +68,23 @@ def exact_quantiles(
     values = long_form(data, columns, by, "double").filter(F.col("value").isNotNull())
     x = F.col("value")
     measures = [F.count("*").alias("k"), F.min("value").alias("least"), F.max("value").alias("most")]
-    counts, first_path = stored(values.groupBy(*group, _prefix(x).alias("part")).agg(*measures))
     position = F.col("prob") * (F.col("n") - 1)
-    wanted = (
-        counts.groupBy(*group)
-        .agg(F.sum("k").alias("n"))
+    counts = values.groupBy(*group, _prefix(x).alias("part")).agg(*measures)
+    every = (
+        _spans(counts, group)
+        .withColumn("n", F.sum("k").over(Window.partitionBy(*group)))
         .withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
         .withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
         .withColumn("rank", F.when(F.col("upper"), F.ceil(position)).otherwise(F.floor(position)))
     )
-    wanted, path = stored(_ranked(counts, wanted, group, "part"))
-    discard(df.sparkSession, first_path)
-    while not wanted.filter(F.col("lo") < F.col("hi")).isEmpty():
-        counts = _refined(values, wanted, group, 2 * len(probs)).agg(*measures)
-        open_ranks = wanted.filter(F.col("lo") < F.col("hi")).withColumn("floor", F.col("lo"))
-        narrowed = _ranked(counts, open_ranks, [*group, "floor"], "part").drop("floor")
-        known = wanted.filter(~(F.col("lo") < F.col("hi")))
-        past, (wanted, path) = path, stored(known.unionByName(narrowed))
+    keep = [*group, "n", "prob", "upper"]
+    wanted, path = stored(_narrowed(every, keep))
+    is_open = F.col("lo") < F.col("hi")
+    while not wanted.filter(is_open).isEmpty():
+        counts = _refined(values, wanted.filter(is_open), group, 2 * len(probs)).agg(*measures)
+        asked = wanted.filter(is_open).select(*keep, "rank", F.col("lo").alias("floor"))
+        narrowed = _narrowed(asked.join(_spans(counts, [*group, "floor"]), [*group, "floor"]), keep)
+        past, (wanted, path) = path, stored(wanted.filter(~is_open).unionByName(narrowed))
         discard(df.sparkSession, past)
     a, b = F.min(F.when(~F.col("upper"), F.col("lo"))), F.min(F.when(F.col("upper"), F.col("lo")))
     picked = wanted.groupBy(*group, "prob", "n").agg(a.alias("a"), b.alias("b"))
@@ -98,12 +93,11 @@ def exact_quantiles(
     return picked.select(*group, "prob", "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("value"))
 
 
-def _refined(values: DataFrame, wanted: DataFrame, group: Sequence[str], most: int):
+def _refined(values: DataFrame, wanted: DataFrame, group: Sequence[str], most: int) -> GroupedData:
     """Rows of the ranges that hold an open rank, grouped by equal parts of their range."""
     # one row per group and column: its open ranges, which are disjoint
     ranges = (
-        wanted.filter(F.col("lo") < F.col("hi"))
-        .groupBy(*group)
+        wanted.groupBy(*group)
         .agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
         .select(*group, *[F.get("spans", F.lit(j))[e].alias(f"{e}{j}") for j in range(most) for e in ("lo", "hi")])
     )
