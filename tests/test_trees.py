@@ -186,3 +186,37 @@ def test_stored_blocks_are_deleted(spark):
     Forest(trees=2).fit(df)
     Boosting(rounds=1, depth=1).fit(df)
     assert set(os.listdir(folder)) == before
+
+
+@pytest.mark.parametrize("task_rows", [1 << 18, 300])
+def test_a_stored_forest_equals_a_held_one(spark, monkeypatch, tmp_path, task_rows):
+    x, y = _data(1500)
+    odd = np.concatenate([x, x + 0.25, np.full((1, 5), np.nan), x[:1] * 1e9])  # values that no tree has seen
+    df, asked = _frame(spark, x, y).cache(), _frame(spark, odd, np.zeros(len(odd))).cache()
+    monkeypatch.setattr(trees, "TASK_ROWS", task_rows)
+    rows = lambda m: [(r.k, r.prediction, r.rawPrediction, r.probability) for r in m.transform(asked).orderBy("k").collect()]
+    for kind in ({}, {"drawn": True, "bootstrap": False}, {"depth": 2}):
+        monkeypatch.setattr(trees, "HELD_NODES", 1 << 20)
+        held = Forest(trees=5, **kind).fit(df)
+        monkeypatch.setattr(trees, "HELD_NODES", 0)
+        monkeypatch.setattr("tabloom.plans.ensembles._SCORED_ROWS", 200)
+        monkeypatch.setattr("tabloom.plans.ensembles.TASK_ROWS", 1)  # more rows than were fitted on come in slices
+        folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+        before = set(os.listdir(folder))
+        stored = Forest(trees=5, **kind).fit(df)
+        if stored.pieces is None:  # counted to its end
+            continue
+        assert not stored._trees and sum(len(t["feature"]) for t in stored.pieces.tops) < sum(len(t["feature"]) for t in held.trees)
+        assert [_nested(t) for t in stored.trees] == [_nested(t) for t in held.trees]
+        assert np.allclose(stored.featureImportances.toArray(), held.featureImportances.toArray())
+        assert rows(stored) == rows(held)
+        path = str(tmp_path / f"{task_rows}-{len(kind)}-{kind.get('depth')}")
+        PipelineModel([stored]).write().overwrite().save(path)
+        again = PipelineModel.load(path).stages[0]
+        assert again.pieces is not None and rows(again) == rows(held)
+        assert stored.transform(asked.limit(0)).count() == 0
+        stored.release()
+        again.release()
+        assert set(os.listdir(folder)) == before
+    df.unpersist()
+    asked.unpersist()
