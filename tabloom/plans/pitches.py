@@ -101,7 +101,7 @@ def counted_groups(df: DataFrame) -> FeatureGroups:
     over 20% missing, and five fixed names, less the three bases.
     """
     found = names_where(
-        column_roles(df, exclude_substrings=BY_NAME), F.col("role").startswith("excluded")
+        column_roles(df, exclude_substrings=BY_NAME, counts=False), F.col("role").startswith("excluded")
     )
     excluded = [*found, "game_year", "game_type", "des", "player_name", "type"]
     return FeatureGroups(

@@ -28,3 +28,16 @@ def test_odd_columns(spark):
     empty = df.drop("a").limit(0)
     assert roles.drop_ids(empty).columns == empty.columns
     assert profile.low_cardinality_values(df, ["wide"], most=10).count() == 0
+
+
+def test_roles_without_counts_count_few_cells(spark, monkeypatch):
+    rows = [(i, i % 15, i % 16, float(i), i % 7 if i % 5 else None, i if i % 5 > 1 else None, f"v{i}", True) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, few int, more int, x double, gaps int, sparse int, t string, flag boolean")
+    whole = {r["column"]: (r["type"], r["role"], r["missing_share"]) for r in roles.column_roles(df, exclude_substrings=["fl"]).collect()}
+    asked = []
+    monkeypatch.setattr(roles, "column_profile", lambda d, columns=None: asked.append(columns) or profile.column_profile(d, columns))
+    got = roles.column_roles(df, exclude_substrings=["fl"], counts=False)
+    assert {r["column"]: (r["type"], r["role"], r["missing_share"]) for r in got.collect()} == whole
+    assert whole["few"][1] == "discrete" and whole["more"][1] == "continuous" and whole["flag"][1] == "excluded_by_name"
+    assert asked and not {"id", "x", "t", "sparse", "flag"} & set(asked[0])  # wide, excluded and text columns are not counted
+    assert roles.column_roles(df.limit(0), counts=False).count() == roles.column_roles(df.limit(0)).count() == 0
