@@ -30,8 +30,9 @@ from tabloom.session import discard, stored
 _TIE = 2e-15
 _EULER = 0.5772156649015329
 _EXACT_UP_TO = 12
-POINTS_PER_CELL = 100_000
-_MAX_CELLS = 20_000  # of a feature: its cells hold more than POINTS_PER_CELL only past 2e9 rows
+# a worker is handed a hundred cells at a time
+POINTS_PER_CELL = 25_000
+_MAX_CELLS = 80_000  # of a feature: its cells hold more than POINTS_PER_CELL only past 2e9 rows
 
 
 def digamma(n: Column) -> Column:

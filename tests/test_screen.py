@@ -61,3 +61,10 @@ def test_drop_correlated(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 7), "t") for i in range(30)], "a double, b double, c double, t string")
     reduced, dropped = screen.drop_correlated(df, ["a", "b", "c"])
     assert dropped == ["b"] and reduced.columns == ["a", "c", "t"]
+
+
+def test_a_batch_of_packed_cells_is_small():
+    # a Python worker takes a hundred rows at a time: value, class and count of every point
+    from tabloom.operators import information
+
+    assert 100 * information.POINTS_PER_CELL * (8 + 4 + 8) <= 64 * 1024 * 1024
