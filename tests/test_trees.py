@@ -220,3 +220,25 @@ def test_a_stored_forest_equals_a_held_one(spark, monkeypatch, tmp_path, task_ro
         assert set(os.listdir(folder)) == before
     df.unpersist()
     asked.unpersist()
+
+
+def test_summed_marks_are_those_of_sorted_rows():
+    """Counted and radix-sorted sums are, to the bit, those of rows sorted by node and code."""
+    import tabloom.operators.trees as grown
+
+    rng = np.random.default_rng(5)
+    n, classes, width = 4000, 3, 8
+    y, times = rng.integers(0, classes, n), rng.integers(1, 4, n)
+    for weight, owners in ((1.0, 3), (1.0, 900), (0.3 + rng.random(n), 3), (0.3 + rng.random(n), 900)):
+        owner, code = np.sort(rng.integers(0, owners, n)), rng.integers(0, width, n).astype(np.uint8)
+        rows = rng.permutation(n)
+        plain = np.zeros((n, classes + 1))
+        plain[np.arange(n), y], plain[:, -1] = weight * times, times
+        order = np.argsort(owner * width + code, kind="stable")
+        pair = (owner * width + code)[order]
+        begins = np.nonzero(np.append(True, pair[1:] != pair[:-1]))[0]
+        marks = grown._Marks(y, weight * times, times, classes)
+        of, codes, sums = marks.cells(rows, owner, code, owners, width)
+        assert marks.whole == np.isscalar(weight)
+        assert np.array_equal(of * width + codes, pair[begins])
+        assert np.array_equal(sums, np.add.reduceat(plain[rows[order]], begins, axis=0))
