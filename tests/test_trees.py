@@ -242,3 +242,35 @@ def test_summed_marks_are_those_of_sorted_rows():
         assert marks.whole == np.isscalar(weight)
         assert np.array_equal(of * width + codes, pair[begins])
         assert np.array_equal(sums, np.add.reduceat(plain[rows[order]], begins, axis=0))
+
+
+def test_blocks_are_dealt_to_all_cores(spark, monkeypatch):
+    """Rows that come in one part are packed in their order, but their blocks are worked on by several tasks."""
+    monkeypatch.setattr("tabloom.operators.trees.BLOCK_ROWS", 50)
+    x, y = _data(400)
+    packed = trees.pack(_frame(spark, x, y).coalesce(1), "label_index", 3)
+    assert packed.blocks.rdd.getNumPartitions() > 1
+    assert [r.block for r in packed.blocks.orderBy("block").collect()] == list(range(8))
+    packed.release()
+
+
+def test_a_level_of_boosting_is_one_stage(spark, monkeypatch):
+    from tabloom.plans import ensembles
+
+    x, y = _data(300)
+    context, seen, inner = spark.sparkContext, [], ensembles._gradients
+
+    def watched(*args):
+        context.setJobGroup(f"level-{len(seen)}", "a level")
+        out = inner(*args)
+        seen.append(context.statusTracker().getJobIdsForGroup(f"level-{len(seen)}"))
+        context.setJobGroup("rest", "rest")
+        return out
+
+    monkeypatch.setattr(ensembles, "_gradients", watched)
+    fitted = Boosting(rounds=3, depth=2, bins=255).fit(_frame(spark, x, y))
+    infos = [context.statusTracker().getJobInfo(j) for jobs in seen for j in jobs]
+    assert len(seen) == 6 and all(len(jobs) == 1 for jobs in seen) and all(len(i.stageIds) == 1 for i in infos)
+    monkeypatch.setattr(ensembles, "_SENT_NUMBERS", 1)  # sums are added up on the way
+    again = Boosting(rounds=3, depth=2, bins=255).fit(_frame(spark, x, y))
+    assert np.allclose(again.raw(x), fitted.raw(x))
